@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table with production parameters, and the SQL of those that SQL can express."""
 
-from . import near_dedup
+from . import language_id, near_dedup
 
-QUERIES = {"op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup}
+QUERIES = {f.__name__: f for f in (near_dedup.op1_minhash_near_dedup, language_id.op2_language_id)}
 ORACLE: dict[str, str] = {}
