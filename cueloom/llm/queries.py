@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table with production parameters, and the SQL of those that SQL can express."""
 
-from . import language_id, near_dedup
+from . import exact_dedup, language_id, mixing, near_dedup
 
-QUERIES = {f.__name__: f for f in (near_dedup.op1_minhash_near_dedup, language_id.op2_language_id)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (near_dedup.op1_minhash_near_dedup, language_id.op2_language_id, mixing.op3_source_mixing, exact_dedup.op6_exact_dedup)}
+ORACLE: dict[str, str] = {"op6_exact_dedup": exact_dedup.OP6_SQL}
