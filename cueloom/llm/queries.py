@@ -1,6 +1,16 @@
 """One query for each operator, over its whole table with production parameters, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, language_id, mixing, near_dedup
+from . import exact_dedup, language_id, licenses, mixing, near_dedup, secrets
 
-QUERIES = {f.__name__: f for f in (near_dedup.op1_minhash_near_dedup, language_id.op2_language_id, mixing.op3_source_mixing, exact_dedup.op6_exact_dedup)}
-ORACLE: dict[str, str] = {"op6_exact_dedup": exact_dedup.OP6_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        near_dedup.op1_minhash_near_dedup,
+        language_id.op2_language_id,
+        mixing.op3_source_mixing,
+        licenses.op4_license_scan,
+        exact_dedup.op6_exact_dedup,
+        secrets.op9_secret_scan,
+    )
+}
+ORACLE: dict[str, str] = {"op4_license_scan": licenses.sql(), "op6_exact_dedup": exact_dedup.OP6_SQL}
