@@ -82,6 +82,12 @@ def seeded(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=U64) + U64(seed << 32)) * U64(0x9E3779B97F4A7C15))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each once; plain sorting beats np.unique's hash table by far."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _pow: dict[str, np.ndarray] = {}
@@ -201,16 +207,36 @@ def one_permutation(h: np.ndarray, row: np.ndarray, n: int, bits: int) -> np.nda
     return reg.reshape(n, m)
 
 
-def densified(reg: np.ndarray, empty) -> np.ndarray:
-    """Empty registers take the next filled one to the right (cyclic), tagged with the distance; an empty row stays empty."""
+REFILLS = 3
+
+
+def refilled(reg: np.ndarray, h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Registers of one_permutation() with the empty ones filled from further hashes: REFILLS more permutations, then a
+    hash of its own for each register that is still empty. Two sets agree in a register with a probability of their
+    Jaccard index, in each independently, however small they are. Rows without members stay empty."""
     n, m = reg.shape
-    filled = reg != empty
-    twice = np.concatenate([filled, filled], 1)
-    at = np.where(twice, np.arange(2 * m)[None, :], 4 * m)
-    at = np.minimum.accumulate(at[:, ::-1], 1)[:, ::-1][:, :m]
-    d = at - np.arange(m)[None, :]
-    out = np.take_along_axis(reg, at % m, 1).astype(U64)
-    return out + (d.astype(U64) << U64(56)) * (d > 0)
+    bits = m.bit_length() - 1
+    none = ~U64(0)
+    reg = reg.copy()
+    some = np.bincount(row, minlength=n) > 0
+    seeds = seeded(m + REFILLS, 41)
+    for t in range(REFILLS + 1):
+        need = np.flatnonzero((reg == none).any(1) & some)
+        if not len(need):
+            return reg
+        place = np.full(n, -1)
+        place[need] = np.arange(len(need))
+        mine = place[row] >= 0
+        x, at, old = h[mine], place[row[mine]], reg[need]
+        if t < REFILLS:
+            new = one_permutation(mix(x + seeds[m + t]), at, len(need), bits)
+        else:
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            new = np.empty((len(need), m), U64)
+            for k in range(m):
+                new[:, k] = np.minimum.reduceat(mix(x + seeds[k]), first) >> U64(1)
+        reg[need] = np.where(old == none, new, old)
+    return reg
 
 
 def bands(reg: np.ndarray, rows: int) -> np.ndarray:
