@@ -262,3 +262,37 @@ def with_id(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# ---------------------------------------------------------------- arrays summed over partitions
+_BLOCKS = "part long, block int, data binary"
+
+
+def blocks_of(x: np.ndarray, block: int = 1 << 14):
+    """A batch of (part, block, data) for an array (float64 or int64) that this partition adds to the sum."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    flat = np.ascontiguousarray(x).reshape(-1)
+    n = -(-len(flat) // block)
+    data = [flat[i * block : (i + 1) * block].tobytes() for i in range(n)]
+    return pa.RecordBatch.from_arrays([pa.array([task.partitionId() if task else 0] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(data, pa.binary())], ["part", "block", "data"])
+
+
+def summed(df: DataFrame, kind, shape, fan: int = 256) -> np.ndarray:
+    """The sum over partitions, by a tree of two levels, so that no task holds more than `fan` blocks a key at first."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = None
+        for b in table.column("data").to_pylist():
+            x = np.frombuffer(b, kind)
+            total = x.copy() if total is None else total + x
+        return pa.table({"part": table.column("part").slice(0, 1), "block": table.column("block").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
+
+    once = df.withColumn("part", F.floor(F.col("part") / fan)).groupBy("part", "block").applyInArrow(add, _BLOCKS)
+    rows = once.withColumn("part", F.lit(0).cast("long")).groupBy("part", "block").applyInArrow(add, _BLOCKS).collect()
+    out = np.zeros(int(np.prod(shape)), kind)
+    if rows:
+        flat = np.concatenate([np.frombuffer(r["data"], kind) for r in sorted(rows, key=lambda r: r["block"])])
+        out[: len(flat)] = flat
+    return out.reshape(shape)

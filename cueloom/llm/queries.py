@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table with production parameters, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, pii, secrets
+from . import decontamination, exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, pii, secrets
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         line_dedup.op5_line_dedup,
         exact_dedup.op6_exact_dedup,
         pii.op7_pii_scan,
+        decontamination.op8_benchmark_decontamination,
         secrets.op9_secret_scan,
     )
 }
