@@ -1,6 +1,6 @@
 """One query for each operator, over its whole table with production parameters, and the SQL of those that SQL can express."""
 
-from . import decontamination, exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, pii, secrets
+from . import decontamination, exact_dedup, language_id, licenses, line_dedup, lm_scoring, mixing, near_dedup, pii, secrets
 
 QUERIES = {
     f.__name__: f
@@ -14,6 +14,7 @@ QUERIES = {
         pii.op7_pii_scan,
         decontamination.op8_benchmark_decontamination,
         secrets.op9_secret_scan,
+        lm_scoring.op10_lm_scoring,
     )
 }
 ORACLE: dict[str, str] = {"op4_license_scan": licenses.sql(), "op6_exact_dedup": exact_dedup.OP6_SQL}
