@@ -38,24 +38,26 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def bucket_components(rows: DataFrame, verify, tables: Tables) -> DataFrame:
+def bucket_components(rows: DataFrame, prepare, verify, tables: Tables) -> DataFrame:
     """(id, root) of the components of the graph whose edges are the pairs that share a band and that verify() keeps.
 
-    rows: (band, id). verify: DataFrame of (a, b) -> those of it that are similar, in a written table. A large bucket
+    rows: (band, id). prepare: DataFrame of the ids (id) that share a band -> what verify needs of them, a written
+    table. verify: that and a DataFrame of (a, b) -> those of it that are similar, in a written table. A large bucket
     isn't compared pair by pair: every member is compared with the least one, and after union-find two members only
     where they are still in different components. The components are those that all pairs would give.
     """
     shared = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("band", "least")
     rows = tables.write(rows.join(shared, "band"))
     pairs = rows.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    first = verify(pairs)
+    known = prepare(rows.select("id").distinct())
+    first = verify(known, pairs)
     root = tables.write(components(first, tables))
     placed = rows.select("band", "id").join(root, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     apart = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     placed = tables.write(placed.join(apart, "band"))
     x, y = (placed.select("band", F.col("id").alias(i), F.col("root").alias(r)) for i, r in (("a", "p"), ("b", "q")))
     more = x.join(y, "band").where("a < b and p <> q").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    second = verify(more)
+    second = verify(known, more)
     out = tables.write(components(root.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).union(second), tables))
-    tables.drop(rows, first, root, placed, second)
+    tables.drop(rows, known, first, root, placed, second)
     return out

@@ -154,19 +154,18 @@ def duplicate_lines(docs: DataFrame, tables: C.Tables | None = None) -> DataFram
     kinds = tables.write(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("rid").alias("rid"), *(F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS))))
     rows = kinds.select(F.col("h1").alias("id"), F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = tables.write(pairs)
-        named = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    def texts_of(ids: DataFrame) -> DataFrame:
+        named = ids.withColumnRenamed("id", "h1").hint("merge")  # at every size, so that plans stay alike
         one = lines.select("h1", "rid", "line_no").join(named, "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("rid", "line_no")).alias("at"))
-        ask = one.groupBy("at.rid").agg(F.collect_list("at.line_no").alias("numbers"), F.collect_list("h1").alias("hashes"))
+        ask = one.groupBy("at.rid").agg(F.collect_list("at.line_no").alias("numbers"), F.collect_list("h1").alias("hashes")).hint("merge")
         got = texts.select("rid", "text").join(ask, "rid").select(F.lower("text").alias("text"), "numbers", "hashes").mapInArrow(_wanted, "id long, line string")
-        got = tables.write(got.groupBy("id").agg(F.first("line").alias("line")))
-        both = pairs.join(got.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(got.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-        out = tables.write(both.select("a", "b", "la", "lb").mapInArrow(_similar, "a long, b long"))
-        tables.drop(pairs, got)
-        return out
+        return tables.write(got.groupBy("id").agg(F.first("line").alias("line")))
 
-    root = bucket_components(rows, verify, tables)
+    def verify(known: DataFrame, pairs: DataFrame) -> DataFrame:
+        both = pairs.join(known.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(known.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+        return tables.write(both.select("a", "b", "la", "lb").mapInArrow(_similar, "a long, b long"))
+
+    root = bucket_components(rows, texts_of, verify, tables)
     same = kinds.where("n > 1").select(F.col("h1").alias("id")).distinct()
     placed = root.join(same, "id", "full").select("id", F.coalesce("root", "id").alias("root"))
     members = lines.select("doc_id", "rid", "line_no", F.col("h1").alias("id")).join(placed, "id")

@@ -120,7 +120,8 @@ def _local_factors(cells: DataFrame, given: dict) -> DataFrame:
         goals.append(np.array([t[x] for x in names[i]]))
     factor = rake(keys, tokens, goals) / np.maximum(tokens, 1)
     p = np.minimum(1.0, scale_for(BUDGET * tokens.sum(), tokens, factor) * factor)
-    return spark.createDataFrame([(*(r[m] for m in MARGINS), float(x)) for r, x in zip(rows, p)], "source string, lang string, topic int, p double")
+    found = spark.createDataFrame([(*(r[m] for m in MARGINS), float(x)) for r, x in zip(rows, p)], "source string, lang string, topic int, p double")
+    return F.broadcast(found)  # LOCAL_CELLS rows at most
 
 
 def _table_factors(cells: DataFrame, given: dict, tables: C.Tables) -> DataFrame:

@@ -1,13 +1,11 @@
 """Near-duplicate documents by HyperMinHash.
 
 Each document is the set of its runs of three words (case, punctuation and spacing don't count). A register keeps,
-for its bucket of the hash space, the leading-zero count of the least hash and some mantissa bits after it. Bands of
-four registers name candidates; of each candidate the Jaccard index is estimated from the registers, corrected for
+for its bucket of the hash space, the leading-zero count of the least hash and some mantissa bits after it; buckets
+that a small set leaves empty are filled from further hashes. Bands of four registers name candidates; of each candidate the Jaccard index is estimated from the registers, corrected for
 the collisions that so short registers have; what isn't far below the threshold is verified on the exact sets.
 
-The result is exact for the candidate graph without comparing all pairs of a large group: every member of a bucket is
-compared with the bucket's least member; after union-find, two members are compared only where they are still in
-different components.
+The groups are the connected components of the verified pairs (see components.py for large buckets).
 
 Cases: a null doc_id or a null text, and a text without words, is in no group; rows that repeat a doc_id count as one
 document (its words are those of all its rows' texts that have the least hash, so ties don't matter); an empty table
@@ -22,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import components
+from .components import bucket_components
 
 SHINGLE = 3
 BITS, BAND = 7, 4
@@ -65,7 +63,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 def _sets(h: np.ndarray, row: np.ndarray):
     """Sorted 32-bit members of each row's set, and their rows."""
-    key = np.unique((row.astype(C.U64) << C.U64(32)) | (h >> C.U64(32)))
+    key = C.distinct((row.astype(C.U64) << C.U64(32)) | (h >> C.U64(32)))
     return (key & C.U64(0xFFFFFFFF)).astype(np.uint32), (key >> C.U64(32)).astype(np.int64)
 
 
@@ -75,7 +73,7 @@ def _signatures(batches):
         n = b.num_rows
         h, row, _, _ = C.words(buf, off)
         s, at = C.shingles(h, row, SHINGLE)
-        reg = pack(C.one_permutation(s, at, n, BITS))
+        reg = pack(C.refilled(C.one_permutation(s, at, n, BITS), s, at))
         digest = C.sums(C.mix(s ^ C.U64(0x1234567)), at, n).view(np.int64)
         per = np.bincount(at, minlength=n)
         keep = np.flatnonzero(per > 0)
@@ -90,7 +88,7 @@ def _banded(batches):
         if not b.num_rows:
             continue
         reg = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(b.num_rows, 1 << BITS)
-        x = C.bands(C.densified(reg, EMPTY), BAND)
+        x = C.bands(reg, BAND)
         k = x.shape[1]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), k)), pa.array(x.reshape(-1))], ["id", "band"])
 
@@ -114,18 +112,23 @@ def _members(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), C.list_array(s.view(np.int32), per, pa.int32())], ["doc_id", "members"])
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, tables: C.Tables) -> DataFrame:
+def _with_sets(ids: DataFrame, reps: DataFrame, texts: DataFrame, tables: C.Tables) -> DataFrame:
+    """(doc_id, n, reg, members) of the ids. The join shuffles at every size, so that plans stay alike as tables grow."""
+    named = texts.join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")
+    members = named.mapInArrow(_members, "doc_id long, members array<int>").groupBy("doc_id").agg(F.first("members").alias("members"))
+    return tables.write(members.join(reps, "doc_id"))
+
+
+def _verified(known: DataFrame, pairs: DataFrame, tables: C.Tables) -> DataFrame:
     """Those of pairs (a, b) whose exact Jaccard index reaches THRESHOLD."""
-    left = reps.select(F.col("doc_id").alias("a"), F.col("reg").alias("ra"), F.col("n").alias("na"))
-    right = reps.select(F.col("doc_id").alias("b"), F.col("reg").alias("rb"), F.col("n").alias("nb"))
+    left = known.select(F.col("doc_id").alias("a"), F.col("reg").alias("ra"), F.col("n").alias("na"))
+    right = known.select(F.col("doc_id").alias("b"), F.col("reg").alias("rb"), F.col("n").alias("nb"))
     likely = pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_estimated, "a long, b long")
     likely = tables.write(likely)
-    named = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-    members = tables.write(texts.join(named, "doc_id", "left_semi").mapInArrow(_members, "doc_id long, members array<int>").groupBy("doc_id").agg(F.first("members").alias("members")))
-    both = likely.join(members.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a").join(members.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
+    both = likely.join(known.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
     common = F.size(F.array_intersect("ma", "mb"))
     out = tables.write(both.where(common >= F.lit(THRESHOLD) * (F.size("ma") + F.size("mb") - common)).select("a", "b"))
-    tables.drop(likely, members)
+    tables.drop(likely)
     return out
 
 
@@ -140,23 +143,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kinds = tables.write(sig.groupBy("digest", "n").agg(F.first("reg").alias("reg")).join(same, ["digest", "n"]))
     reps = kinds.select("doc_id", "n", "reg")
     rows = reps.select("doc_id", "reg").mapInArrow(_banded, "id long, band long")
-    shared = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("band", "least")
-    rows = tables.write(rows.join(shared, "band"))
-    pairs = rows.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    first = _verified(pairs, reps, texts, tables)
-    root = tables.write(components(first, tables))
-    placed = rows.select("band", "id").join(root, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    apart = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    placed = placed.join(apart, "band")
-    x, y = (placed.select("band", F.col("id").alias(i), F.col("root").alias(r)) for i, r in (("a", "p"), ("b", "q")))
-    more = x.join(y, "band").where("a < b and p <> q").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    second = _verified(more, reps, texts, tables)
-    root = tables.write(components(root.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).union(second), tables))
+    root = bucket_components(rows, lambda ids: _with_sets(ids, reps, texts, tables), lambda known, pairs: _verified(known, pairs, tables), tables)
     rep = one.join(same.withColumnRenamed("doc_id", "rep"), ["digest", "n"]).select("doc_id", "rep")
     all_of = rep.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("group_id"))
     many = all_of.groupBy("group_id").agg(F.count("*").alias("size")).where("size > 1").select("group_id")
     out = tables.write(all_of.join(many, "group_id").select("doc_id", "group_id"))
-    tables.drop(sig, kinds, rows, first, second, root)
+    tables.drop(sig, kinds, root)
     return out
 
 
