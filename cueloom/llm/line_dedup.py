@@ -27,6 +27,8 @@ SHINGLE = 10
 BITS, BAND = 5, 4
 THRESHOLD = 0.75
 BANDS = (1 << BITS) // BAND
+#: Bytes of text handled at once: the working arrays, some ten times that, stay in a core's cache.
+SLICE = 1 << 17
 _OTHER = C.seeded(256, 23)
 _OTHER[65:91] = _OTHER[97:123]
 
@@ -57,12 +59,17 @@ def normal_lines(buf: np.ndarray, off: np.ndarray):
     return kept, offsets, row, np.arange(len(start)) - first_of
 
 
-def line_shingles(kept: np.ndarray, offsets: np.ndarray):
-    """(hash, line) of every run of SHINGLE bytes; a shorter line that isn't empty has one."""
-    n = len(kept)
-    p, inv = C.powers(n + 1)
-    total = np.zeros(n + 1, C.U64)
-    np.cumsum(C.BYTE[kept] * p[:n], out=total[1:])
+def prefix_sums(kept: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Of the bytes' values by place: the hash of any stretch is a difference of two."""
+    total = np.zeros(len(kept) + 1, C.U64)
+    np.cumsum(table[kept] * C.powers(len(kept) + 1)[0][: len(kept)], out=total[1:])
+    return total
+
+
+def line_shingles(total: np.ndarray, offsets: np.ndarray):
+    """(hash, line) of every run of SHINGLE bytes; a shorter line that isn't empty has one. total: prefix_sums()."""
+    n = len(total) - 1
+    inv = C.powers(n + 1)[1]
     size = np.diff(offsets)
     line = np.repeat(np.arange(len(size)), size)
     short = np.flatnonzero((size > 0) & (size < SHINGLE))
@@ -79,10 +86,8 @@ def line_shingles(kept: np.ndarray, offsets: np.ndarray):
     return h, l
 
 
-def _hash(kept: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
-    p, inv = C.powers(len(kept) + 1)
-    total = np.zeros(len(kept) + 1, C.U64)
-    np.cumsum(table[kept] * p[: len(kept)], out=total[1:])
+def _hash(total: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    inv = C.powers(len(total))[1]
     return C.mix((total[offsets[1:]] - total[offsets[:-1]]) * inv[offsets[:-1]] + np.diff(offsets).astype(C.U64))
 
 
@@ -90,17 +95,18 @@ _LINES = "doc_id long, rid long, line_no int, h1 long, h2 long, " + ", ".join(f"
 
 
 def _lines(batches):
-    for b in C.slices(batches, 2):
+    for b in C.slices(batches, 2, SLICE):
         kept, offsets, row, number = normal_lines(*C.text_bytes(b.column(2)))
         full = np.flatnonzero(np.diff(offsets) > 0)
         if not len(full):
             continue
-        h, line = line_shingles(kept, offsets)
+        total = prefix_sums(kept, C.BYTE)
+        h, line = line_shingles(total, offsets)
         slot = np.full(len(offsets), -1)
         slot[full] = np.arange(len(full))
         at = slot[line]
         x = C.bands(C.refilled(C.one_permutation(h, at, len(full), BITS), h, at), BAND)
-        h1, h2 = (_hash(kept, offsets, t)[full].view(np.int64) for t in (C.BYTE, _OTHER))
+        h1, h2 = (_hash(t, offsets)[full].view(np.int64) for t in (total, prefix_sums(kept, _OTHER)))
         at = pa.array(row[full])
         yield pa.RecordBatch.from_arrays(
             [b.column(0).take(at), b.column(1).take(at), pa.array(number[full].astype(np.int32)), pa.array(h1), pa.array(h2), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(BANDS))],
@@ -122,7 +128,7 @@ def _wanted(batches):
 def _keys(col: pa.Array) -> np.ndarray:
     """Sorted (line << 32 | 32-bit shingle) of all lines; each row of the column is one line."""
     kept, offsets, row, _ = normal_lines(*C.text_bytes(col))
-    h, line = line_shingles(kept, offsets)
+    h, line = line_shingles(prefix_sums(kept, C.BYTE), offsets)
     return C.distinct((row[line].astype(C.U64) << C.U64(32)) | (h >> C.U64(32)))
 
 
@@ -136,7 +142,7 @@ def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def _similar(batches):
-    for b in C.slices(batches, 2):
+    for b in C.slices(batches, 2, SLICE):
         keep = pa.array(jaccard(b.column(2), b.column(3)) >= THRESHOLD)
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
