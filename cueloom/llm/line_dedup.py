@@ -132,18 +132,29 @@ def _keys(col: pa.Array) -> np.ndarray:
     return C.distinct((row[line].astype(C.U64) << C.U64(32)) | (h >> C.U64(32)))
 
 
-def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
-    x, y = _keys(a), _keys(b)
-    n = len(a)
-    count = lambda k: np.bincount((k >> C.U64(32)).astype(np.int64), minlength=n)
+def _sets(ids: np.ndarray, col: pa.Array):
+    """Each pair's sorted (pair << 32 | 32-bit shingle) of one side; a line that is in many pairs is cut up once."""
+    _, first, which = np.unique(ids, return_index=True, return_inverse=True)
+    k = _keys(col.take(pa.array(first)))
+    off = np.searchsorted(k >> C.U64(32), np.arange(len(first) + 1, dtype=C.U64))
+    size = (off[1:] - off[:-1])[which]
+    pair = np.repeat(np.arange(len(ids), dtype=C.U64), size)
+    at = np.arange(len(pair)) + np.repeat(off[which] - (np.cumsum(size) - size), size)
+    return (pair << C.U64(32)) | (k[at] & C.U64(0xFFFFFFFF)), size
+
+
+def jaccard(ids_a: np.ndarray, a: pa.Array, ids_b: np.ndarray, b: pa.Array) -> np.ndarray:
+    """Of the lines of each pair; equal ids have equal lines."""
+    (x, n), (y, m) = _sets(ids_a, a), _sets(ids_b, b)
     z = np.sort(np.concatenate([x, y]))
-    both = count(z[1:][z[1:] == z[:-1]])
-    return both / np.maximum(count(x) + count(y) - both, 1)
+    both = np.bincount((z[1:][z[1:] == z[:-1]] >> C.U64(32)).astype(np.int64), minlength=len(n))
+    return both / np.maximum(n + m - both, 1)
 
 
 def _similar(batches):
     for b in C.slices(batches, 2, SLICE):
-        keep = pa.array(jaccard(b.column(2), b.column(3)) >= THRESHOLD)
+        ids = [b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+        keep = pa.array(jaccard(ids[0], b.column(2), ids[1], b.column(3)) >= THRESHOLD)
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
 
