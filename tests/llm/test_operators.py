@@ -1,0 +1,100 @@
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from cueloom.llm import common, decontamination, exact_dedup, language_id, licenses, line_dedup, lm_scoring, mixing, near_dedup, pii, secrets
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+
+
+ODD = [(None, "no id here"), (5, None), (6, ""), (7, "word " * 3000), (8, "same text here"), (8, "same text here")]
+
+
+def test_exact_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, f"text {rng.integers(0, 30)}") for i in range(60)] + ODD
+    groups = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            groups.setdefault(t, []).append(i)
+    want = {(i, min(g)) for g in groups.values() if len(g) > 1 for i in g}
+    assert {tuple(r) for r in exact_dedup.copies(documents(spark, rows)).collect()} == want
+
+
+def test_fuse_filter_has_no_false_negatives():
+    keys = common.seeded(5000, 1)
+    f = exact_dedup.Fuse.loads(exact_dedup.Fuse(keys).dumps())
+    assert f.has(keys).all() and f.has(common.seeded(20000, 2)).mean() < 0.02
+
+
+def test_near_dedup(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = words[:30] + ["other"] + words[31:]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(f"z{k}" for k in range(60)))] + ODD
+    docs = documents(spark, rows)
+    got = {tuple(r) for r in near_dedup.near_duplicates(docs).collect()}
+    assert {(1, 1), (2, 1)} <= got and 3 not in {a for a, _ in got}
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect() if r[0] is not None) == [1, 3, 5, 6, 7, 8]
+
+
+def test_line_jaccard_against_sets():
+    a, b = "the quick brown fox jumps over it", "the quick brown fox jumped over it"
+    grams = lambda s: {s[i : i + 10] for i in range(len(s) - 9)}
+    want = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    ids = np.array([1, 1]), np.array([2, 3])
+    assert line_dedup.jaccard(ids[0], pa.array([a, a]), ids[1], pa.array([b, a])) == pytest.approx([want, 1.0])
+
+
+def test_line_dedup(spark):
+    line = "a line of some length that comes again and again"
+    rows = [(1, f"{line}\nfirst own line of text"), (2, f"second own thing entirely\n{line.upper()}!"), (None, line), (4, None), (5, "")]
+    got = {tuple(r) for r in line_dedup.duplicate_lines(documents(spark, rows)).select("doc_id", "line_no", "kept_doc_id", "kept_line_no").collect()}
+    assert got == {(2, 1, 1, 0)}
+
+
+def test_lcs():
+    assert decontamination.lcs(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 1])) == 2
+
+
+def test_raked_margins():
+    keys = np.array([[0, 0, 0], [0, 1, 0], [1, 0, 0], [1, 1, 0]])
+    goals = [np.array([0.5, 0.5]), np.array([0.3, 0.7]), np.array([1.0])]
+    w = mixing.rake(keys, np.array([10.0, 20.0, 30.0, 5.0]), goals)
+    for m, goal in enumerate(goals):
+        assert np.bincount(keys[:, m], w) == pytest.approx(goal)
+
+
+def test_language_and_lm_on_odd_rows(spark):
+    docs = documents(spark, [(1, "the cat and the dog are in the house " * 5), *ODD])
+    found = language_id.identify(docs, language_id.train(docs)).collect()
+    assert len(found) == 7 and {r["doc_id"]: r["language"] for r in found}[6] == "und"
+    scored = lm_scoring.score(docs, *lm_scoring.train(docs)).collect()
+    assert len(scored) == 7 and {r["doc_id"]: r["n_tokens"] for r in scored}[5] == 0
+
+
+def test_log_probabilities_are_normalised():
+    p = lm_scoring.Parameters.start(np.full(lm_scoring.VOCABULARY, 1 / lm_scoring.VOCABULARY))
+    w = np.arange(lm_scoring.VOCABULARY)
+    ctx = np.zeros((lm_scoring.CONTEXT, len(w)), np.int64) + 3
+    assert np.exp(lm_scoring.log_probabilities(p, w, ctx)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_scans_of_texts():
+    assert [(x[2], x[3]) for x in secrets.secrets('api_key = "q8Zr2Lk9Tx4Vb7Nm"')] != []
+    assert secrets.secrets("a plain sentence: nothing here") == []
+    model = pii.trained()
+    t = "write to jo.doe@example.com or 192.168.0.1"
+    assert [(t[a:b], k) for a, b, k in pii.entities(t, model)] == [("jo.doe@example.com", "EMAIL"), ("192.168.0.1", "IP")]
+    with pytest.raises(ValueError):
+        licenses.parse("a <<beginOptional>> b")
+
+
+def test_empty_tables(spark):
+    none = documents(spark, [(0, "x")]).where("doc_id < 0")
+    for f in (near_dedup.near_duplicates, exact_dedup.copies, line_dedup.duplicate_lines, mixing.sample, pii.scan, secrets.scan):
+        assert f(none).collect() == []
