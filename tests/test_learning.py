@@ -117,7 +117,7 @@ def test_coding(spark):
 
 def test_windows_need_more_words_than_they_hold(spark):
     d = spark.createDataFrame([(1, "a b c"), (2, "a b c d"), (3, "a"), (4, "")], "doc_id int, text string")
-    lists = events.word_lists(events.words_of(d))
+    lists = events.word_lists(events.words_of(d, breaks=False))
     assert [tuple(r) for r in events.windows(lists, 1).orderBy("doc_id", "pos").collect()] == [(2, 0, ["a", "b", "c"]), (2, 1, ["b", "c", "d"])]
     assert events.windows(lists, 0).count() == 8
     one = events.letter_events(events.windows(lists, 0).where("doc_id = 3"), 3, smaller=True).collect()[0]
