@@ -1,13 +1,19 @@
 """Language-model scoring by a log-bilinear model trained with noise-contrastive estimation.
 
-Tokens are words. The vocabulary is the VOCABULARY - 1 heaviest of 2**HASH_BITS hash buckets of words, counted over all
-documents; everything else, and the start of a text, is the token 0. The model predicts a word from the CONTEXT words
-before it: their vectors, weighted entry by entry for each place, add up to a prediction whose product with a word's
-vector, plus that word's bias, is its score. It is trained in numpy by noise-contrastive estimation: against NOISE
-samples of the unigram distribution, shared by a batch, without normalising. Every partition of the corpus trains on all
-its tokens, from the same start (the unigram model), and the parameters are averaged with the partitions' tokens as
-weights, so that what is gathered grows with the corpus. Scoring normalises over the whole vocabulary by batched matrix
-products, once for each distinct context of a slice.
+Tokens are words, counted over all documents by a 64-bit hash. Every word that occurs OWN times or more has vectors of
+its own, so that vocabulary and parameters grow with the corpus. Of rarer words, too few to learn vectors from, those
+that occur equally often share one token and its vectors, and each has an equal share of the token's probability; a
+word that the corpus doesn't hold counts like one that occurs once. The start of a text is a token of its own. The
+model predicts a word from the CONTEXT words before it: their vectors, weighted entry by entry for each place, add up
+to a prediction. Its product with a vector, plus a bias, is a score. Up to VOCABULARY tokens there is one softmax; with
+more, the most frequent tokens and classes of the other ones (by frequency, of about the root of their number) share a
+softmax, and each class has one over its tokens.
+
+It is trained in numpy by noise-contrastive estimation: against NOISE samples of the unigram distribution, shared by a
+batch, without normalising; the tokens that are in classes once more, against samples of such tokens. Every partition
+of the corpus trains on all its tokens, from the same start (the unigram model), and the parameters are averaged with
+the partitions' tokens as weights, a token's own vectors with its occurrences. Scoring normalises both softmaxes by
+batched matrix products, the first once for each distinct context of a slice.
 
 Cases: a null or empty text has 0 tokens, log-probability 0 and no perplexity; every row gets a row, repeated ones
 too, and ids may be null; an empty table gives an empty result; other columns are ignored.
@@ -15,6 +21,8 @@ too, and ids may be null; an empty table gives an empty result; other columns ar
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,73 +30,133 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-HASH_BITS = 18
+OWN = 10
 VOCABULARY = 1024
 D, CONTEXT = 24, 2
 NOISE, BATCH, RATE = 64, 2048, 0.15
 SEED = 4
-
-
-def _buckets(col: pa.Array):
-    h, row, _, _ = C.words(*C.text_bytes(col))
-    return (h >> C.U64(64 - HASH_BITS)).astype(np.int64), row
+#: Tokens whose parameters are averaged together, and numbers of the shared parameters.
+BLOCK, SHARED = 256, 1 << 14
 
 
 def _count(batches):
-    total = np.zeros(1 << HASH_BITS, np.int64)
-    for b in C.slices(batches, 0):
-        total += np.bincount(_buckets(b.column(0))[0], minlength=1 << HASH_BITS)
-    yield C.blocks_of(total)
-
-
-def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket -> token, and the tokens' shares (add one half)."""
-    top = np.lexsort((np.arange(len(counts)), -counts))[: VOCABULARY - 1]
-    top = top[counts[top] > 0]
-    token = np.zeros(len(counts), np.int16)
-    token[top] = np.arange(1, len(top) + 1)
-    n = np.zeros(VOCABULARY)
-    n[1 : len(top) + 1] = counts[top]
-    n[0] = counts.sum() - n.sum()
-    n += 0.5
-    return token, n / n.sum()
+    for b in C.slices(batches, 0, 1 << 22):
+        h, n = np.unique(C.words(*C.text_bytes(b.column(0)))[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+
+class Vocabulary:
+    """Hash of a word -> token, the tokens' shares (add one half), and the log share of a word in its token."""
+
+    def __init__(self, h: np.ndarray, n: np.ndarray, once: int):
+        """h, n: of the words that occur twice or more; once: the number of those that occur once."""
+        order = np.argsort(h)
+        self.h, n = h[order], n[order]
+        words = np.bincount(n[n < OWN], minlength=OWN)
+        words[1] = max(once, 1)
+        counts = np.flatnonzero(words)  # 1 is the first
+        own = np.flatnonzero(n >= OWN)
+        mass = np.concatenate([words[counts] * counts, n[own]]) + 0.5
+        by_mass = np.argsort(-mass, kind="stable")
+        place = np.empty(len(mass), np.int32)
+        place[by_mass] = np.arange(len(mass))
+        self.share = mass[by_mass] / mass.sum()
+        self.log_part = np.zeros(len(mass))
+        self.log_part[place[: len(counts)]] = -np.log(words[counts])
+        self.rare = int(place[0])
+        self.token = np.empty(len(n), np.int32)
+        self.token[own] = place[len(counts) :]
+        few = n < OWN
+        self.token[few] = place[np.searchsorted(counts, n[few])]
+
+    def of(self, col: pa.Array):
+        """(token, row) of each word."""
+        h, row, _, _ = C.words(*C.text_bytes(col))
+        if not len(self.h):
+            return np.full(len(h), self.rare, np.int64), row
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, self.token[at], self.rare).astype(np.int64), row
+
+
+class Layout:
+    """Units (single tokens, then classes of tokens) for a number of tokens that go by falling frequency."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self.single = n if n <= VOCABULARY else VOCABULARY // 4
+        self.size = max(1, math.isqrt(n - self.single))
+        self.units = self.single + -(-(n - self.single) // self.size)
+
+    def unit(self, w: np.ndarray) -> np.ndarray:
+        return np.where(w < self.single, w, self.single + (w - self.single) // self.size)
 
 
 class Parameters:
-    """Context vectors r, word vectors q, biases b, and a weight vector c for each place before the word."""
+    """Units' vectors u and biases v, a weight vector c for each place before the word; and for each token, the start
+    of a text being the last, a context vector r, a word vector q and a bias b (rows of own: r, q, b)."""
 
-    SHAPES = ((VOCABULARY, D), (VOCABULARY, D), (VOCABULARY,), (CONTEXT, D))
-    SIZE = sum(int(np.prod(s)) for s in SHAPES)
+    def __init__(self, layout: Layout, shared: np.ndarray, own: np.ndarray):
+        n = layout.units
+        self.layout, self.shared, self.own = layout, shared, own
+        self.u, self.v, self.c = shared[: n * D].reshape(n, D), shared[n * D : n * (D + 1)], shared[n * (D + 1) :].reshape(CONTEXT, D)
+        self.r, self.q, self.b = own[:, :D], own[:, D : 2 * D], own[:, 2 * D]
 
-    def __init__(self, flat: np.ndarray):
-        self.flat, parts, at = flat, [], 0
-        for s in self.SHAPES:
-            n = int(np.prod(s))
-            parts.append(flat[at : at + n].reshape(s))
-            at += n
-        self.r, self.q, self.b, self.c = parts
+    @classmethod
+    def full(cls, layout: Layout, value: float) -> Parameters:
+        return cls(layout, np.full(layout.units * (D + 1) + CONTEXT * D, value, np.float32), np.full((layout.n + 1, 2 * D + 1), value, np.float32))
 
     @classmethod
     def start(cls, share: np.ndarray) -> Parameters:
         rng = np.random.default_rng(SEED)
-        self = cls(np.zeros(cls.SIZE, np.float32))
-        self.r[:], self.q[:] = rng.normal(0, 0.1, self.r.shape), rng.normal(0, 0.1, self.q.shape)
-        self.b[:], self.c[:] = np.log(share), 1.0
+        self = cls.full(Layout(len(share)), 0)
+        self.own[:, : 2 * D] = rng.standard_normal((len(share) + 1, 2 * D), np.float32) * np.float32(0.1)
+        self.u[:] = rng.normal(0, 0.1, self.u.shape)
+        self.v[:] = np.log(unit_share(self.layout, share))
+        self.b[:-1], self.c[:] = np.log(share), 1.0
         return self
 
 
-def examples(token: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """For each token the CONTEXT tokens before it in its row, nearest first; 0 before the start."""
-    out = np.zeros((CONTEXT, len(token)), np.int64)
+def unit_share(layout: Layout, share: np.ndarray) -> np.ndarray:
+    return np.bincount(layout.unit(np.arange(layout.n)), share, layout.units)
+
+
+def examples(token: np.ndarray, row: np.ndarray, start: int = 0) -> np.ndarray:
+    """For each token the CONTEXT tokens before it in its row, nearest first; `start` before the start."""
+    out = np.full((CONTEXT, len(token)), start, np.int64)
     for k in range(1, CONTEXT + 1):
         if len(token) > k:
             same = row[k:] == row[:-k]
-            out[k - 1, k:] = np.where(same, token[:-k], 0)
+            out[k - 1, k:] = np.where(same, token[:-k], start)
     return out
 
 
 def _scatter(at: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount((at[:, None] * D + np.arange(D)).ravel(), g.ravel(), n * D).reshape(n, D).astype(np.float32)
+    k = g.shape[1]
+    return np.bincount((at[:, None] * k + np.arange(k)).ravel(), g.ravel(), n * k).reshape(n, k).astype(np.float32)
+
+
+class Noise:
+    """Samples of a distribution over the tokens from `first` on."""
+
+    def __init__(self, share: np.ndarray, first: int = 0):
+        share = share / share.sum()
+        self.first, self.log, self.cumulative = first, np.log(NOISE * share).astype(np.float32), np.cumsum(share)
+
+    def draw(self, rng: np.random.Generator) -> np.ndarray:
+        return self.first + np.minimum(np.searchsorted(self.cumulative, rng.random(NOISE)), len(self.log) - 1)
+
+    def log_of(self, w: np.ndarray) -> np.ndarray:
+        return self.log[w - self.first]
+
+
+def _contrast(pred, q, b, w, x, noise: Noise):
+    """Of targets w against noise x: the gradients by pred, and (1 - sigmoid) of targets and sigmoid of noise."""
+    qw, qx = q[w], q[x]
+    d = np.einsum("ij,ij->i", pred, qw) + b[w] - noise.log_of(w)
+    e = pred @ qx.T + (b[x] - noise.log_of(x))
+    up = 1 / (1 + np.exp(np.clip(d, -30, 30)))
+    down = 1 / (1 + np.exp(np.clip(-e, -30, 30)))
+    return up[:, None] * qw - down @ qx, up, down
 
 
 class Trainer:
@@ -96,70 +164,139 @@ class Trainer:
 
     def __init__(self, share: np.ndarray):
         self.p = Parameters.start(share)
-        self.square = Parameters(np.full(Parameters.SIZE, 1.0, np.float32))
-        self.log_noise = np.log(NOISE * share).astype(np.float32)
-        self.cumulative = np.cumsum(share)
+        self.layout = self.p.layout
+        self.square = Parameters.full(self.layout, 1.0)
+        self.noise = Noise(unit_share(self.layout, share))
+        self.inner = Noise(share[self.layout.single :], self.layout.single) if self.layout.single < self.layout.n else None
         self.rng = np.random.default_rng(SEED + 1)
-        self.n = 0
+        self.n, self.seen = 0, np.zeros(len(share) + 1, np.int64)
+
+    def _rows(self, kind: slice, at: np.ndarray, g: np.ndarray, n: int) -> None:
+        """A step for some columns of the tokens `at`, which may repeat."""
+        which, at = np.unique(at, return_inverse=True)
+        f = _scatter(at, g, len(which)) * np.float32(32 / n)
+        square = self.square.own[which, kind] + f * f
+        self.square.own[which, kind] = square
+        self.p.own[which, kind] += np.float32(RATE) * f / np.sqrt(square)
 
     def step(self, w: np.ndarray, ctx: np.ndarray) -> None:
         p, n = self.p, len(w)
-        x = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), VOCABULARY - 1)
+        x = self.noise.draw(self.rng)
         rows = [p.r[c] for c in ctx]
         pred = sum(p.c[k] * rows[k] for k in range(CONTEXT))
-        qw, qx = p.q[w], p.q[x]
-        d = np.einsum("ij,ij->i", pred, qw) + p.b[w] - self.log_noise[w]
-        e = pred @ qx.T + (p.b[x] - self.log_noise[x])
-        up = 1 / (1 + np.exp(np.clip(d, -30, 30)))  # 1 - sigmoid
-        down = 1 / (1 + np.exp(np.clip(-e, -30, 30)))
-        g = Parameters(np.zeros(Parameters.SIZE, np.float32))
-        dpred = up[:, None] * qw - down @ qx
-        g.q[:] = _scatter(w, up[:, None] * pred, VOCABULARY)
-        np.subtract.at(g.q, x, down.T @ pred)
-        g.b[:] = np.bincount(w, up, VOCABULARY)
-        np.subtract.at(g.b, x, down.sum(0))
+        unit = self.layout.unit(w)
+        dpred, up, down = _contrast(pred, p.u, p.v, unit, x, self.noise)
+        g = np.zeros_like(p.shared)
+        units = self.layout.units
+        gu, gv, gc = g[: units * D].reshape(units, D), g[units * D : units * (D + 1)], g[units * (D + 1) :].reshape(CONTEXT, D)
+        gu[:] = _scatter(unit, up[:, None] * pred, units)
+        np.subtract.at(gu, x, down.T @ pred)
+        gv[:] = np.bincount(unit, up, units)
+        np.subtract.at(gv, x, down.sum(0))
+        tail = np.flatnonzero(w >= self.layout.single)
+        if len(tail):
+            y, some, t = self.inner.draw(self.rng), pred[tail], w[tail]
+            d, up, down = _contrast(some, p.q, p.b, t, y, self.inner)
+            dpred[tail] += d
+            out = np.concatenate([up[:, None] * some, -(down.T @ some)]), np.concatenate([up, -down.sum(0)])
+            self._rows(slice(D, 2 * D + 1), np.concatenate([t, y]), np.concatenate([out[0], out[1][:, None]], 1), n)
         for k in range(CONTEXT):
-            g.c[k] = (dpred * rows[k]).sum(0)
-            g.r[:] += _scatter(ctx[k], dpred * p.c[k], VOCABULARY)
-        f = g.flat / np.float32(n)
-        f *= 32  # a step's size doesn't depend on the batch's
-        self.square.flat += f * f
-        p.flat += np.float32(RATE) * f / np.sqrt(self.square.flat)
+            gc[k] = (dpred * rows[k]).sum(0)
+        self._rows(slice(0, D), ctx.ravel(), np.concatenate([dpred * p.c[k] for k in range(CONTEXT)]), n)
+        f = g * np.float32(32 / n)  # a step's size doesn't depend on the batch's
+        self.square.shared += f * f
+        p.shared += np.float32(RATE) * f / np.sqrt(self.square.shared)
         self.n += n
+        self.seen += np.bincount(w, minlength=len(self.seen))
+        self.seen[-1] += np.count_nonzero(ctx == self.layout.n)
+
+    def blocks(self, start: Parameters):
+        """(block, n, data): how far the parameters went from the start, and the weights. Shared ones have blocks under 0."""
+        far = self.p.shared - start.shared
+        for i in range(0, len(far), SHARED):
+            yield -1 - i // SHARED, np.array([self.n]), far[i : i + SHARED].astype(np.float32)
+        for i in range(0, len(self.seen), BLOCK):
+            n = self.seen[i : i + BLOCK]
+            if n.any():
+                at = np.flatnonzero(n)
+                yield i // BLOCK, np.stack([at, n[at]]), (self.p.own[i + at] - start.own[i + at]).astype(np.float16)
+
 
+_AVERAGED = "block int, n binary, data binary"
 
-def _train_with(token: np.ndarray, share: np.ndarray):
+
+def _train_with(vocabulary: Vocabulary):
     def train(batches):
-        t = Trainer(share)
+        t = Trainer(vocabulary.share)
         for b in C.slices(batches, 0):
-            bucket, row = _buckets(b.column(0))
-            w = token[bucket].astype(np.int64)
-            ctx = examples(w, row)
+            w, row = vocabulary.of(b.column(0))
+            ctx = examples(w, row, len(vocabulary.share))
             for i in range(0, len(w), BATCH):
                 t.step(w[i : i + BATCH], ctx[:, i : i + BATCH])
         if t.n:
-            yield C.blocks_of(np.concatenate([t.p.flat.astype(np.float64) * t.n, [t.n]]))
+            rows = [(k, n.astype(np.int64).tobytes(), x.tobytes()) for k, n, x in t.blocks(Parameters.start(vocabulary.share))]
+            for i in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64]), (pa.int32(), pa.binary(), pa.binary()))], ["block", "n", "data"])
 
     return train
 
 
-def train(docs: DataFrame) -> tuple[np.ndarray, Parameters]:
-    """The vocabulary (bucket -> token) and the averaged parameters."""
+def _average(table: pa.Table) -> pa.Table:
+    block = table.column("block")[0].as_py()
+    total, weight = None, None
+    for n, data in zip(table.column("n").to_pylist(), table.column("data").to_pylist()):
+        n = np.frombuffer(n, np.int64)
+        if block < 0:
+            x = np.frombuffer(data, np.float32).astype(float)
+            total, weight = (0, 0) if total is None else (total, weight)
+            total, weight = total + x * n[0], weight + n[0]
+        else:
+            at, n = n.reshape(2, -1)
+            if total is None:
+                total, weight = np.zeros((BLOCK, 2 * D + 1)), np.zeros((BLOCK, 1))
+            total[at] += np.frombuffer(data, np.float16).reshape(len(at), -1).astype(float) * n[:, None]
+            weight[at] += n[:, None]
+    x = (total / np.maximum(weight, 1)).astype(np.float32)
+    return pa.table({"block": pa.array([block], pa.int32()), "n": pa.array([b""], pa.binary()), "data": pa.array([x.tobytes()], pa.binary())})
+
+
+def train(docs: DataFrame) -> tuple[Vocabulary, Parameters]:
+    """The vocabulary and the averaged parameters. Words that occur twice or more and their parameters come to the driver."""
     text = docs.where("text is not null").select(F.lower("text").alias("text"))
-    counts = C.summed(text.mapInArrow(_count, C._BLOCKS), np.int64, (1 << HASH_BITS,))
-    token, share = vocabulary(counts)
-    total = C.summed(text.mapInArrow(_train_with(token, share), C._BLOCKS), np.float64, (Parameters.SIZE + 1,))
-    flat = (total[:-1] / total[-1]).astype(np.float32) if total[-1] else Parameters.start(share).flat
-    return token, Parameters(flat)
+    tables = C.Tables(docs.sparkSession, "words")
+    counts = tables.write(text.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    found = counts.where("n > 1").toArrow()
+    h, n = (found.column(i).to_numpy() for i in range(2))
+    vocabulary = Vocabulary(h.view(C.U64), n, counts.where("n = 1").count())
+    tables.drop(counts)
+    p = Parameters.start(vocabulary.share)
+    rows = text.mapInArrow(_train_with(vocabulary), _AVERAGED).groupBy("block").applyInArrow(_average, _AVERAGED).select("block", "data").toArrow()
+    for block, data in zip(rows.column("block").to_pylist(), rows.column("data")):
+        x = np.frombuffer(data.as_buffer(), np.float32)
+        if block < 0:
+            p.shared[(-1 - block) * SHARED :][: len(x)] += x
+        else:
+            own = p.own[block * BLOCK : (block + 1) * BLOCK]
+            own += x.reshape(BLOCK, -1)[: len(own)]
+    return vocabulary, p
+
+
+def _log_sums(s: np.ndarray) -> np.ndarray:
+    """log(sum(exp)) of each row; overwrites s."""
+    m = s.max(1)
+    s -= m[:, None]
+    np.exp(s, out=s)
+    return m + np.log(s.sum(1, dtype=np.float64))
 
 
 def log_probabilities(p: Parameters, w: np.ndarray, ctx: np.ndarray, rows: int = 4096) -> np.ndarray:
     """Normalised, one for each token."""
     if not len(w):
         return np.empty(0)
+    layout = p.layout
     key = ctx[0]
     for k in range(1, CONTEXT):
-        key = key * VOCABULARY + ctx[k]
+        key = key * (layout.n + 1) + ctx[k]
     order = np.argsort(key, kind="stable")
     head = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     which = np.empty(len(w), np.int64)
@@ -168,26 +305,34 @@ def log_probabilities(p: Parameters, w: np.ndarray, ctx: np.ndarray, rows: int =
     pred = sum(p.c[k] * p.r[one[k]] for k in range(CONTEXT))
     log_z = np.empty(len(pred))
     for i in range(0, len(pred), rows):
-        s = pred[i : i + rows] @ p.q.T + p.b
-        m = s.max(1)
-        s -= m[:, None]
-        np.exp(s, out=s)
-        log_z[i : i + rows] = m + np.log(s.sum(1, dtype=np.float64))
-    return np.einsum("ij,ij->i", pred[which], p.q[w]).astype(float) + p.b[w] - log_z[which]
+        log_z[i : i + rows] = _log_sums(pred[i : i + rows] @ p.u.T + p.v)
+    unit = layout.unit(w)
+    out = np.einsum("ij,ij->i", pred[which], p.u[unit]).astype(float) + p.v[unit] - log_z[which]
+    tail = np.flatnonzero(w >= layout.single)
+    tail = tail[np.argsort(unit[tail], kind="stable")]
+    cut = np.flatnonzero(np.concatenate([[True], unit[tail][1:] != unit[tail][:-1]])) if len(tail) else []
+    for i, j in zip(cut, [*cut[1:], len(tail)]):
+        lo = layout.single + (int(unit[tail[i]]) - layout.single) * layout.size
+        q, b = np.ascontiguousarray(p.q[lo : min(lo + layout.size, layout.n)].T), p.b[lo : min(lo + layout.size, layout.n)]
+        for k in range(i, j, rows):
+            at = tail[k : min(k + rows, j)]
+            s = pred[which[at]] @ q + b
+            own = s[np.arange(len(at)), w[at] - lo].astype(float)
+            out[at] += own - _log_sums(s)
+    return out
 
 
-def score(docs: DataFrame, token: np.ndarray, p: Parameters) -> DataFrame:
+def score(docs: DataFrame, vocabulary: Vocabulary, p: Parameters) -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity) of every row."""
-    flat = p.flat
+    layout, shared, own = p.layout, p.shared, p.own
 
     def scored(batches):
-        p = Parameters(flat)
+        p = Parameters(layout, shared, own)
         for b in C.slices(batches):
             n = b.num_rows
-            bucket, row = _buckets(b.column(1))
-            w = token[bucket].astype(np.int64)
+            w, row = vocabulary.of(b.column(1))
             size = np.bincount(row, minlength=n)
-            total = np.bincount(row, log_probabilities(p, w, examples(w, row)), n) if len(w) else np.zeros(n)
+            total = np.bincount(row, log_probabilities(p, w, examples(w, row, layout.n)) + vocabulary.log_part[w], n) if len(w) else np.zeros(n)
             per = np.exp(-total / np.maximum(size, 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(np.round(total, 4)), pa.array(np.round(per, 4), mask=size == 0)], ["doc_id", "n_tokens", "log_prob", "perplexity"])
 

@@ -98,3 +98,22 @@ def test_empty_tables(spark):
     none = documents(spark, [(0, "x")]).where("doc_id < 0")
     for f in (near_dedup.near_duplicates, exact_dedup.copies, line_dedup.duplicate_lines, mixing.sample, pii.scan, secrets.scan):
         assert f(none).collect() == []
+
+
+def test_lm_scoring_tells_words_apart_and_grows(spark):
+    rng = np.random.default_rng(3)
+    kinds = [f"k{k}" for k in range(3000)]
+    rows = [(i, " ".join(kinds[k] for k in rng.integers(0, 3000, 400))) for i in range(100)]
+    rows += [(1000, " ".join(f"rare{k}" for k in range(300))), (1001, "k5 " * 300)]
+    docs = documents(spark, rows)
+    vocabulary, p = lm_scoring.train(docs)
+    assert len(vocabulary.share) > 2000 and len(p.own) == len(vocabulary.share) + 1
+    n = p.layout.n
+    w = np.arange(n)
+    ctx = np.full((lm_scoring.CONTEXT, n), 7)
+    assert p.layout.units < n and np.exp(lm_scoring.log_probabilities(p, w, ctx)).sum() == pytest.approx(1, abs=1e-3)
+    got = {r["doc_id"]: r["perplexity"] for r in lm_scoring.score(docs, vocabulary, p).collect()}
+    assert got[1000] > 300 and got[1000] > got[1001]
+    # words that aren't in the corpus count like those that occur once
+    new = documents(spark, [(1, " ".join(f"other{k}" for k in range(300))), (2, "k5 k5")])
+    assert lm_scoring.score(new, vocabulary, p).where("doc_id = 1").first()["perplexity"] > 300
