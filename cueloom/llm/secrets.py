@@ -3,8 +3,9 @@
 Source and configuration text is lexed into name-literal pairs: name = "literal", "name": 'literal', name: literal,
 NAME=literal, name := "a" + other. Constants are propagated: a name on the right stands for the literal that was last
 assigned to it in the text, and joined parts make one literal. A pair's score is the sensitivity of its target's name
-(by its words) times how much the literal looks like a secret: length, entropy, mixture of classes, no placeholder.
-A literal whose own form names its issuer (a known prefix and length) counts with no target as well.
+(by its words) times how much the literal looks like a secret: length, entropy, mixture of classes, white space (several
+words may be a passphrase, with words of a sentence they hardly are), no placeholder; a private key in PEM form is one.
+A literal whose own form names its issuer (a known prefix and length), and a PEM private key, count with no target as well.
 
 Cases: null ids and null or empty texts give no rows; every position is listed once, with its best score; repeated rows
 of one doc_id are scanned once (the least text, if they differ); an empty table gives an empty result; other columns
@@ -28,13 +29,19 @@ NAMES = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass":
 PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("encryption", "key"): 0.9, ("signing", "key"): 0.9, ("connection", "string"): 0.7}
 HARMLESS = {"public", "count", "max", "min", "num", "length", "len", "type", "name", "example", "placeholder", "prompt", "label", "hint", "limit", "expiry", "expires"}
 ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})(?![A-Za-z0-9])")
-_PART = r"\"(?:[^\"\\\n]|\\.){0,4096}\"|'(?:[^'\\\n]|\\.){0,4096}'|`[^`\n]{0,4096}`|[A-Za-z0-9_./+\-=$<>{}~!@#%^&*]+"
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s\\:,\-]*?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
+_PEM_HEAD = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
+_PART = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`[^`\n]*+`|[A-Za-z0-9_./+\-=$<>{}~!@#%^&*]+"
 _NAME = re.compile(r"(?<![\w.\-])([A-Za-z_][\w.\-]{0,127})[\"']?[ \t]*(?:=>|:=|(?<![=!<>])=(?!=)|:(?!//))[ \t]*(?=\S)")
 _RHS = re.compile(_PART)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _IDENT = re.compile(r"[A-Za-z_][\w.]*")
-_HOLDER = re.compile(r"^(?:x+|\*+|\.+|0+|changeme|example|placeholder|none|null|true|false|undefined|todo|your.*|my.*|test|dummy|<.*>|\$\{.*\}|\$\w+|\{\{.*\}\}|%.*%|process\.env.*|os\.environ.*|getenv.*)$", re.I)
+_HOLDER = re.compile(r"^(?:x+|\*+|\.+|0+|changeme|example|placeholder|none|null|true|false|undefined|todo|test|dummy|<.*>|\$\{.*\}|\$\w+|\{\{.*\}\}|%.*%|process\.env.*|os\.environ.*|getenv.*)$", re.I)
+
+_OWNED = re.compile(r"(?:my|your)(?:[\W_]*(?:own|new|super|actual|real|account|api|app|access|auth|aws|bearer|bot|client|company|connection|credentials?|database|db|encryption|github|id|key|login|name|passwd|passphrase|password|pass|private|project|pwd|secret|service|signing|string|token|user|value|example|placeholder|goes|here))*[\W_]*", re.I)
+#: Words of sentences and prompts, which are no passphrases.
+_SENTENCE = frozenset("a an and are as at be by can cannot choose confirm do does enter for forgot from has have here if in incorrect invalid is it its must new no not of on or please required reset should that the their this to use was when will with wrong you your".split())
 
 
 def sensitivity(name: str) -> float:
@@ -45,13 +52,17 @@ def sensitivity(name: str) -> float:
 
 def likeness(literal: str) -> float:
     n = len(literal)
-    if n < 6 or _HOLDER.match(literal) or any(c.isspace() for c in literal):
+    if _PEM_HEAD.search(literal):
+        return 1.0
+    if n < 6 or _HOLDER.match(literal) or _OWNED.fullmatch(literal) or not literal.strip():
         return 0.0
+    words = literal.split()
+    spaced = 1.0 if len(words) == 1 else 0.1 if _SENTENCE & {w.lower().strip(".,:;!?") for w in words} else 0.75
     count = Counter(literal)
     entropy = -sum(k / n * math.log2(k / n) for k in count.values())
     classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     score = min(1.0, entropy / 3.2) * min(1.0, n / 10)
-    return score if classes >= 2 else score * (0.9 if n >= 24 and entropy > 3.5 else 0.45)
+    return score * spaced if classes >= 2 else score * spaced * (0.9 if n >= 24 and entropy > 3.5 else 0.45)
 
 
 def pairs(text: str):
@@ -94,6 +105,9 @@ def secrets(text: str) -> list[tuple]:
             put(start, end, name, s * likeness(literal), "propagated" if via else "assigned")
     for m in ISSUED.finditer(text):
         put(m.start(), m.end(), None, 0.95, "issued")
+    if "PRIVATE KEY-----" in text:
+        for m in PEM.finditer(text):
+            put(m.start(), m.end(), None, 0.95, "issued")
     return [best[k] for k in sorted(best)]
 
 
@@ -110,7 +124,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = C.with_id(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     t = F.col("text")
     hit = t.contains("=") | t.contains(":")
-    for p in ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_"):
+    for p in ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "PRIVATE KEY-----"):
         hit |= t.contains(p)
     some = rows.where(hit).groupBy("doc_id").agg(F.min("text").alias("text"))
     return some.mapInArrow(_find, "doc_id long, start_pos long, end_pos long, target string, score double, rule string")
