@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 TYPES = ("O", "EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN")
-LONGEST, SPACES = 17, 6
+#: An IBAN of 34 characters in groups of four has 8 gaps; an e-mail address has at most 254 characters. Nothing but an
+#: address has more than SHORT tokens.
+LONGEST, SPACES, SHORT = 254, 8, 17
 TRAINING, EPOCHS, RATE, DECAY = 400, 4, 0.5, 1e-4
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _TRIGGER = re.compile(r"[0-9@]")
@@ -105,11 +107,18 @@ def candidates(text: str, tokens: list[tuple[int, int]]):
         s = text[a:b]
         kind.append((s[0].isalnum(), s in "+(", bool(_TRIGGER.search(s)), s))
     gap = [i > 0 and tokens[i][0] > tokens[i - 1][1] for i in range(n)]
+    # one past the last token of the run without gaps, if an @ is still to come in it
+    to_sign, end, sign = [0] * n, n, False
+    for i in range(n - 1, -1, -1):
+        sign |= kind[i][3] == "@"
+        to_sign[i] = end if sign else 0
+        if gap[i]:
+            end, sign = i, False
     for i in range(n):
         if not (kind[i][0] or kind[i][1]):
             continue
         trigger, spaces = False, 0
-        for j in range(i, min(n, i + LONGEST)):
+        for j in range(i, min(n, i + LONGEST, max(i + SHORT, to_sign[i]))):
             if j > i and gap[j]:
                 spaces += 1
                 if spaces > SPACES:
@@ -119,6 +128,8 @@ def candidates(text: str, tokens: list[tuple[int, int]]):
                 continue
             a, b = tokens[i][0], tokens[j][1]
             span = text[a:b]
+            if j - i >= SHORT and (spaces or not _FORM[0].fullmatch(span)):
+                continue
             if any(c.isalpha() for c in span) and ("@" not in span or spaces) and not (len(span) > 14 and span[:2].isupper() and span[2:4].isdigit()):
                 continue
             # a full stop ends a sentence unless something follows it at once
@@ -227,9 +238,10 @@ def made_up(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
         return next(body + str(c) for c in range(10) if _luhn(body + str(c)))
 
     def iban():
-        country, body = pick("DE", "FR", "GB", "ES"), num(18)
+        country, body = pick("DE", "FR", "GB", "ES", "MT", "BR", "LC"), pick(num(18), num(18), num(pick(11, 16, 20, 23, 25, 26)), "".join(pick("A", "K", "R", "Z") for _ in range(4)) + num(pick(14, 21, 22, 23, 24, 25, 26)))
         check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
-        return f"{country}{check:02d}{body}"
+        whole = f"{country}{check:02d}{body}"
+        return pick(whole, " ".join(whole[i : i + 4] for i in range(0, len(whole), 4)))
 
     def entity():
         y = int(rng.integers(1, len(TYPES)))
@@ -296,6 +308,7 @@ def trained() -> Model:
 
 
 REACH = 96  # characters about a digit or @ that may belong with it
+_GROUPS = re.compile(r"(?: [A-Z0-9]{1,4}(?![^\W_])){0,8}")  # of an IBAN, which may end in groups without digits
 
 
 def neighbourhoods(text: str) -> list[tuple[int, int]]:
@@ -315,6 +328,7 @@ def neighbourhoods(text: str) -> list[tuple[int, int]]:
             a -= 1
         while b < len(text) and not text[b].isspace():
             b += 1
+        b = _GROUPS.match(text, b).end()
         head = re.search(r"(?:\S+\s){0,1}$", text[max(0, a - 40) : a])  # "+" or "(" or an IBAN's letters may stand apart
         spans.append((max(end, a - len(head[0]) if head else a), b))
     return spans

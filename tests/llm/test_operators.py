@@ -133,3 +133,16 @@ def test_secrets_with_blanks_owned_words_and_any_length():
     assert found(f'secret_key = "{long}"') == [long]
     for x in ("your_api_key_here", "my-secret-token", "MyPassword", "Please enter your password", "YOUR_TOKEN"):
         assert found(f'password = "{x}"') == [], x
+
+
+def test_long_grouped_ibans_and_long_addresses():
+    model = pii.trained()
+    for country, body in (("BR", "00360305000010009795493C1"), ("QA", "DOHB00001234567890ABCDEFG"), ("KW", "CBKU0000000000001234560101"), ("MT", "MALT011000012345MTLCAST001S"), ("LC", "HEMM000100010012001200023015"), ("XX", "123456789012345678901234567890")):
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        whole = f"{country}{check:02d}{body}"
+        for s in (whole, " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))):
+            t = f"please pay to {s} by tomorrow"
+            assert [(t[a:b], k) for a, b, k in pii.entities(t, model)] == [(s, "IBAN")]
+    s = "a.b.c.d.e.f.g@h.i.j.k.l.example.com"
+    t = f"write to {s} now"
+    assert [(t[a:b], k) for a, b, k in pii.entities(t, model)] == [(s, "EMAIL")]
