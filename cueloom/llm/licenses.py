@@ -24,13 +24,30 @@ from . import common as C
 
 _OPT, _END = "<<beginOptional>>", "<<endOptional>>"
 
+_WHO = '<<var;name="holder";original="the copyright holders and contributors";tokens="1-20">>'
+_BSD_1 = f"Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {_OPT}1.{_END} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {_OPT}2.{_END} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_AD = f"{_OPT}3.{_END} All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by {_WHO}. "
+_BSD_NAME = f"{{n}} Neither the name of {_WHO} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = f" THIS SOFTWARE IS PROVIDED BY {_WHO} \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {_WHO} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU = f"under the {_OPT}terms of the{_END} GNU"
+_LATER = f"{_OPT}of the License or at your option any later version{_END}"
+
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": f"licensed under the Apache License{_OPT},{_END} Version 2.0 {_OPT}(the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0{_END}",
     "MIT": f"released under the {_OPT}terms of the{_END} MIT License",
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;name="software";original="this software and associated documentation files";tokens="1-8">> (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice '
-    + f"{_OPT}(including the next paragraph){_END} shall be included in all copies or substantial portions of the Software.",
-    "ISC-text": f"Permission to use, copy, modify, and{_OPT}/or{_END} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "BSD-2-Clause-text": f"Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {_OPT}1.{_END} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {_OPT}2.{_END} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    + f"{_OPT}(including the next paragraph){_END} shall be included in all copies or substantial portions of the Software."
+    + f' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL {_WHO} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC-text": f"Permission to use, copy, modify, and{_OPT}/or{_END} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND {_WHO} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {_WHO} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause-text": _BSD_1 + _BSD_END,
+    "BSD-3-Clause-text": _BSD_1 + _BSD_NAME.format(n=f"{_OPT}3.{_END}") + _BSD_END,
+    "BSD-4-Clause-text": _BSD_1 + _BSD_AD + _BSD_NAME.format(n=f"{_OPT}4.{_END}") + _BSD_END,
+    "GPL-2.0": f"licensed {_GNU} General Public License {_OPT}as published by the Free Software Foundation either{_END} version 2 {_LATER}",
+    "LGPL-2.1": f"licensed {_GNU} Lesser General Public License {_OPT}as published by the Free Software Foundation either{_END} version 2.1 {_LATER}",
+    "LGPL-3.0": f"licensed {_GNU} Lesser General Public License {_OPT}as published by the Free Software Foundation either{_END} version 3 {_LATER}",
+    "MPL-2.0": f"subject to the terms of the Mozilla Public License, v{_OPT}.{_END} 2.0",
+    "CC-BY-4.0": f"licensed under {_OPT}a{_END} {_OPT}Creative Commons{_END} CC BY 4.0 {_OPT}International License{_END}",
+    "CC-BY-SA-4.0": f"licensed under {_OPT}a{_END} {_OPT}Creative Commons{_END} CC BY-SA 4.0 {_OPT}International License{_END}",
     "GPL-3.0": f"licensed under the {_OPT}terms of the{_END} GNU General Public License {_OPT}as published by the Free Software Foundation either{_END} version 3 {_OPT}of the License or at your option any later version{_END}",
     "CC-BY-NC-4.0": f"licensed under {_OPT}a{_END} {_OPT}Creative Commons{_END} CC BY-NC 4.0 {_OPT}International License{_END}",
     "LicenseRef-reserved": f'{_OPT}Copyright {_OPT}(c){_END} <<var;name="holder";original="year holder";tokens="1-6">>{_END} All rights reserved',

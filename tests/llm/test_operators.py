@@ -146,3 +146,20 @@ def test_long_grouped_ibans_and_long_addresses():
     s = "a.b.c.d.e.f.g@h.i.j.k.l.example.com"
     t = f"write to {s} now"
     assert [(t[a:b], k) for a, b, k in pii.entities(t, model)] == [(s, "EMAIL")]
+
+
+def test_license_texts_are_whole():
+    machines = {k: licenses.Automaton(licenses.parse(v)) for k, v in licenses.TEMPLATES.items()}
+
+    def found(text):
+        tokens = licenses._TOKEN.findall(text.lower())
+        return {k for k, m in machines.items() if m.count(tokens)}
+
+    one = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    name = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    end = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+    assert found(one + end) == {"BSD-2-Clause-text"}
+    assert found(one + name + end) == {"BSD-3-Clause-text"}
+    assert found(one) == found(one + end.replace("DISCLAIMED", "GRANTED")) == set()
+    assert found("licensed under the GNU Lesser General Public License version 3") == {"LGPL-3.0"}
+    assert found("licensed under a Creative Commons CC BY-SA 4.0 International License") == {"CC-BY-SA-4.0"}
