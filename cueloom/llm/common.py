@@ -7,6 +7,7 @@ The kernels work on the UTF-8 bytes of a whole slice of rows at once; a slice ho
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,16 +22,34 @@ U64 = np.uint64
 
 # ---------------------------------------------------------------- shared folder
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where it is unset (tests), a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local master gets a folder of
+    its own machine, which is all there is; on a cluster it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+def free_name(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them where the table has columns of these names (case doesn't count)."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def col(name: str):
+    """A column by its whole name, whatever signs that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is None:
@@ -95,7 +114,7 @@ _pow: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "p" not in _pow or len(_pow["p"]) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = 1 << max(17, (n - 1).bit_length())
         for key, base in (("p", _P), ("i", _PINV)):
             a = np.full(size, base, U64)
             a[0] = 1

@@ -1,16 +1,21 @@
 """Fuzzy duplicate lines by MinHash.
 
 A line is the set of its runs of SHINGLE bytes, after lower-casing and with everything but letters and digits as one
-blank. Lines that are equal after that are one kind from the start. Of each kind a MinHash of 2**BITS registers (one
-permutation, empty ones refilled) is cut in bands of BAND registers; kinds that share a band are compared by the exact Jaccard
-index of their sets, and distributed union-find joins those that reach THRESHOLD. Of each component one line stays,
-the first by doc_id and line number. At the threshold the bands find 95 % of the pairs, above it more.
+blank. Lines that are equal after that are one kind from the start (by two 64-bit hashes). Of each kind a MinHash of
+BANDS * BAND registers (one permutation, empty ones filled from registers that a hash names) is cut in bands; of kinds
+that share a band, those that four bits of 32 registers don't show to be far apart are compared by the exact Jaccard
+index of their sets (of 32-bit hashes), and distributed union-find joins those that reach THRESHOLD. Of each component
+one line stays, the first by doc_id and line number. At the threshold the bands find 90 % of the pairs, at 0.8 97 %,
+above it more. One changed letter leaves lines of 39 bytes or more above the threshold, a changed word of five letters
+lines of 67 or more.
 
 Cases: a line without letters and digits is never a duplicate; a line shorter than SHINGLE is a set of one; rows with
 a null doc_id or text are left alone; rows that repeat (same doc_id, same text) count as one document and are treated
-alike; an empty table gives an empty result; other columns are ignored (op) or kept (stage). The stage takes the
-duplicate lines out of the texts and puts n_chars right where it changed a text; a document of which nothing is left
-goes, one that had no words before stays.
+alike, different texts of one doc_id are ordered by their hash; lines of equal place can't differ otherwise, so that
+there are no ties; very long texts and lines are used whole, a slice being one text at least; an empty table gives an
+empty result; other columns are ignored (op) or kept (stage), whatever their names. The stage takes the duplicate lines
+out of the texts and puts n_chars right where it changed a text; a document of which no letter or digit is left goes,
+one that had none before stays.
 """
 
 from __future__ import annotations
@@ -21,16 +26,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import bucket_components
+from .components import MARKS, bucket_components, marks
 
-SHINGLE = 10
-BITS, BAND = 5, 4
+SHINGLE = 5
+BAND, BANDS = 6, 12
+REGISTERS = BAND * BANDS
 THRESHOLD = 0.75
-BANDS = (1 << BITS) // BAND
 #: Bytes of text handled at once: the working arrays, some ten times that, stay in a core's cache.
 SLICE = 1 << 17
 _OTHER = C.seeded(256, 23)
 _OTHER[65:91] = _OTHER[97:123]
+#: Registers to fill an empty one from, in turn; then the least hash of all.
+_DONORS = (C.seeded(16 * REGISTERS, 77) >> C.U64(32)).astype(np.int64).reshape(16, REGISTERS) % REGISTERS
+
+
+def signatures(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """MinHash registers of n sets of hashes, each of which has a member; row ascends."""
+    none = ~C.U64(0)
+    reg = np.full(n * REGISTERS, none, C.U64)
+    place = ((h >> C.U64(32)) * C.U64(REGISTERS)) >> C.U64(32)
+    np.minimum.at(reg, row * REGISTERS + place.astype(np.int64), C.mix(h))
+    reg = reg.reshape(n, REGISTERS)
+    own = reg != none
+    r, k = np.nonzero(~own)
+    for t in range(len(_DONORS)):
+        if not len(r):
+            return reg
+        d = _DONORS[t][k]
+        ok = own[r, d]
+        reg[r[ok], k[ok]] = C.mix(reg[r[ok], d[ok]] + C.U64(t + 1))
+        r, k = r[~ok], k[~ok]
+    if len(r):
+        reg[r, k] = C.mix(np.where(own, reg, none).min(1)[r] + C.U64(99))
+    return reg
 
 
 def normal_lines(buf: np.ndarray, off: np.ndarray):
@@ -91,7 +119,7 @@ def _hash(total: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return C.mix((total[offsets[1:]] - total[offsets[:-1]]) * inv[offsets[:-1]] + np.diff(offsets).astype(C.U64))
 
 
-_LINES = "doc_id long, rid long, line_no int, h1 long, h2 long, " + ", ".join(f"b{i} long" for i in range(BANDS))
+_LINES = "doc_id long, rid long, line_no int, h1 long, h2 long, m1 long, m2 long, " + ", ".join(f"b{i} long" for i in range(BANDS))
 
 
 def _lines(batches):
@@ -104,16 +132,19 @@ def _lines(batches):
         h, line = line_shingles(total, offsets)
         slot = np.full(len(offsets), -1)
         slot[full] = np.arange(len(full))
-        at = slot[line]
-        x = C.bands(C.refilled(C.one_permutation(h, at, len(full), BITS), h, at), BAND)
+        reg = signatures(h, slot[line], len(full))
+        x = C.bands(reg, BAND)
         h1, h2 = (_hash(t, offsets)[full].view(np.int64) for t in (total, prefix_sums(kept, _OTHER)))
         at = pa.array(row[full])
         yield pa.RecordBatch.from_arrays(
-            [b.column(0).take(at), b.column(1).take(at), pa.array(number[full].astype(np.int32)), pa.array(h1), pa.array(h2), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(BANDS))],
-            ["doc_id", "rid", "line_no", "h1", "h2", *(f"b{i}" for i in range(BANDS))],
+            [b.column(0).take(at), b.column(1).take(at), pa.array(number[full].astype(np.int32)), pa.array(h1), pa.array(h2), *(pa.array(m) for m in marks(reg[:, :MARKS])), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(BANDS))],
+            _NAMES,
         )
 
 
+_NAMES = [c.split()[0] for c in _LINES.split(", ")]
+
+
 def _wanted(batches):
     """The lines (h1, line) of texts whose numbers are asked for. In: text, numbers, hashes."""
     for b in C.slices(batches, 0):
@@ -162,19 +193,32 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return C.with_id(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), "text")
 
 
+def _kinds(lines: DataFrame, tables: C.Tables) -> DataFrame:
+    """(id, h1, h2, n, rid, line_no, m1, m2, b0, ...): one row for each kind of line. id is h1; where kinds that differ
+    have the same h1, their ids are further hashes of both."""
+    one = ("rid", "line_no", "m1", "m2", *(f"b{i}" for i in range(BANDS)))  # of any one line of the kind
+    kinds = tables.write(lines.groupBy("h1").agg(F.min("h2").alias("h2"), F.max("h2").alias("most"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in one)))
+    out = kinds.where("h2 = most").drop("most").withColumn("id", F.col("h1"))
+    clash = kinds.where("h2 < most").select("h1")
+    if clash.isEmpty():
+        return out
+    apart = lines.join(clash, "h1", "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in one))
+    return tables.write(out.unionByName(apart.withColumn("id", F.xxhash64("h1", "h2"))))
+
+
 def duplicate_lines(docs: DataFrame, tables: C.Tables | None = None) -> DataFrame:
     """(doc_id, rid, line_no, kept_doc_id, kept_line_no) of every line that goes; lines count from 0."""
     spark = docs.sparkSession
     tables = tables or C.Tables(spark, "lines")
     texts = _numbered(docs)
     lines = tables.write(texts.select("doc_id", "rid", F.lower("text").alias("text")).mapInArrow(_lines, _LINES))
-    kinds = tables.write(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("rid").alias("rid"), *(F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS))))
-    rows = kinds.select(F.col("h1").alias("id"), F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band"))
+    kinds = _kinds(lines, tables)
+    rows = kinds.select("id", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        named = ids.withColumnRenamed("id", "h1").hint("merge")  # at every size, so that plans stay alike
-        one = lines.select("h1", "rid", "line_no").join(named, "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("rid", "line_no")).alias("at"))
-        ask = one.groupBy("at.rid").agg(F.collect_list("at.line_no").alias("numbers"), F.collect_list("h1").alias("hashes")).hint("merge")
+        """(id, line). The joins shuffle at every size, so that plans stay alike as tables grow."""
+        asked = kinds.select("id", "rid", "line_no").join(ids.hint("merge"), "id", "left_semi")
+        ask = asked.groupBy("rid").agg(F.collect_list(F.struct("line_no", "id")).alias("ask")).select("rid", F.col("ask.line_no").alias("numbers"), F.col("ask.id").alias("hashes")).hint("merge")
         got = texts.select("rid", "text").join(ask, "rid").select(F.lower("text").alias("text"), "numbers", "hashes").mapInArrow(_wanted, "id long, line string")
         return tables.write(got.groupBy("id").agg(F.first("line").alias("line")))
 
@@ -182,38 +226,36 @@ def duplicate_lines(docs: DataFrame, tables: C.Tables | None = None) -> DataFram
         both = pairs.join(known.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(known.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
         return tables.write(both.select("a", "b", "la", "lb").mapInArrow(_similar, "a long, b long"))
 
-    root = bucket_components(rows, texts_of, verify, tables)
-    same = kinds.where("n > 1").select(F.col("h1").alias("id")).distinct()
-    placed = root.join(same, "id", "full").select("id", F.coalesce("root", "id").alias("root"))
-    members = lines.select("doc_id", "rid", "line_no", F.col("h1").alias("id")).join(placed, "id")
-    first = members.groupBy("root").agg(F.min(F.struct("doc_id", "rid", "line_no")).alias("kept"))
-    gone = members.join(first, "root").where("struct(doc_id, rid, line_no) > kept").select("doc_id", "rid", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")).distinct()
-    out = tables.write(gone)
-    tables.drop(lines, kinds, root)
+    root = bucket_components(rows, kinds.select("id", "m1", "m2"), THRESHOLD, texts_of, verify, tables)
+    placed = kinds.select("id", "h1", "h2", "n").join(root, "id", "left").where("n > 1 or root is not null").select("h1", "h2", F.coalesce("root", "id").alias("root"))
+    members = tables.write(lines.select("doc_id", "rid", "line_no", "h1", "h2").join(placed, ["h1", "h2"]).select("doc_id", "rid", "line_no", "root").distinct())
+    first = members.groupBy("root").agg(F.min("doc_id").alias("kept_doc_id"))
+    least = members.join(first, "root").where("doc_id = kept_doc_id")
+    first = least.groupBy("root").agg(F.min("rid").alias("kept_rid"), F.min("kept_doc_id").alias("kept_doc_id"))
+    least = members.join(first, "root").where("doc_id = kept_doc_id and rid = kept_rid").groupBy("root", "kept_doc_id", "kept_rid").agg(F.min("line_no").alias("kept_line_no"))
+    gone = members.join(least, "root").where("doc_id > kept_doc_id or rid > kept_rid or (rid = kept_rid and line_no > kept_line_no)")
+    out = tables.write(gone.select("doc_id", "rid", "line_no", "kept_doc_id", "kept_line_no"))
+    tables.drop(lines, root, members)
     return out
 
 
-def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
-    out = []
-    for t, g in zip(text.to_pylist(), gone.to_pylist()):
-        if g is not None:
-            drop = set(g)
-            t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
-            t = t if any(c.isalnum() for c in t) else None
-        out.append(t)
-    return pa.array(out, pa.string())
-
-
 def without_duplicate_lines(docs: DataFrame) -> DataFrame:
     """The documents without the lines that go; columns as they came."""
-    gone = duplicate_lines(docs).groupBy(F.col("doc_id").alias("_d"), F.col("rid").alias("_r")).agg(F.collect_set("line_no").alias("_gone"))
-    j = docs.join(gone, (docs["doc_id"] == gone["_d"]) & (F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == gone["_r"]), "left")
-    same = j.where("_gone is null").select(*docs.columns)
-    new = j.where("_gone is not null").withColumn("text", F.arrow_udf(_without, "string")("text", "_gone")).where("text is not null")
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return same.union(new.select(*docs.columns))
+    rid, gone, own = C.free_name(docs, "_rid", "_gone", "_own")
+    found = duplicate_lines(docs).groupBy(F.col("rid").alias(rid)).agg(F.collect_set("line_no").alias(gone)).hint("merge")
+    named = docs.withColumn(rid, F.when(docs["doc_id"].isNotNull() & docs["text"].isNotNull(), F.xxhash64(docs["doc_id"].cast("long"), docs["text"])))
+    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    j = named.join(found, rid, "left").withColumn(own, F.when(F.col(gone).isNotNull(), left))
+    j = j.where(F.col(gone).isNull() | F.col(own).rlike(r"[\p{L}\p{N}]"))
+    new = {c: C.col(c) for c in docs.columns}
+    changed = F.col(gone).isNotNull()
+    for c in docs.columns:
+        if c == "text":
+            new[c] = F.when(changed, F.col(own)).otherwise(C.col(c)).alias(c)
+        elif c == "n_chars":
+            new[c] = F.when(changed, F.length(own).cast(docs.schema[c].dataType)).otherwise(C.col(c)).alias(c)
+    return j.select(*new.values())
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_lines(C.read(spark, sf_dir, "documents")).select("doc_id", "line_no", "kept_doc_id", "kept_line_no")
+    return duplicate_lines(C.read(spark, sf_dir, "documents")).select("doc_id", "line_no", "kept_doc_id", "kept_line_no").distinct()

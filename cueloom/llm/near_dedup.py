@@ -2,14 +2,17 @@
 
 Each document is the set of its runs of three words (case, punctuation and spacing don't count). A register keeps,
 for its bucket of the hash space, the leading-zero count of the least hash and some mantissa bits after it; buckets
-that a small set leaves empty are filled from further hashes. Bands of four registers name candidates; of each candidate the Jaccard index is estimated from the registers, corrected for
-the collisions that so short registers have; what isn't far below the threshold is verified on the exact sets.
+that a small set leaves empty are filled from further hashes. Bands of four registers name candidates; of each
+candidate the Jaccard index is estimated from the registers, corrected for the collisions that so short registers
+have; what isn't far below the threshold is verified on the sets (of 32-bit hashes, which clash once in 4e9 members).
 
 The groups are the connected components of the verified pairs (see components.py for large buckets).
 
-Cases: a null doc_id or a null text, and a text without words, is in no group; rows that repeat a doc_id count as one
-document (its words are those of all its rows' texts that have the least hash, so ties don't matter); an empty table
-gives an empty result; other columns are ignored (op) or returned as they are (stage).
+Cases: a null doc_id or a null text, and a text without words, is in no group. A doc_id's different texts are documents
+of their own: each may be in a group, so that a doc_id can be in several. Rows that repeat both count as one. A group
+has two doc_ids at least. Groups are led by their least doc_id, and among its texts by the least hash; ties can't be
+left, as what ties is equal. Very long texts are used whole, a slice being one text at least. An empty table gives an
+empty result; other columns are ignored (op) or returned as they are (stage), whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import bucket_components
+from .components import MARKS, bucket_components, marks
 
 SHINGLE = 3
 BITS, BAND = 7, 4
@@ -29,6 +32,8 @@ EMPTY = np.uint16(0xFFFF)
 THRESHOLD = 0.6
 #: An estimate lower than the threshold by this much (over four standard errors) isn't verified.
 MARGIN = 0.18
+#: Bytes of text handled at once; working arrays are some thirty times that.
+SLICE = 1 << 17
 
 
 def pack(rest: np.ndarray) -> np.ndarray:
@@ -68,18 +73,19 @@ def _sets(h: np.ndarray, row: np.ndarray):
 
 
 def _signatures(batches):
-    for b in C.slices(batches):
-        buf, off = C.text_bytes(b.column(1))
+    for b in C.slices(batches, 2, SLICE):
+        buf, off = C.text_bytes(b.column(2))
         n = b.num_rows
         h, row, _, _ = C.words(buf, off)
         s, at = C.shingles(h, row, SHINGLE)
         reg = pack(C.refilled(C.one_permutation(s, at, n, BITS), s, at))
-        digest = C.sums(C.mix(s ^ C.U64(0x1234567)), at, n).view(np.int64)
         per = np.bincount(at, minlength=n)
+        digest = C.mix(C.sums(C.mix(s ^ C.U64(0x1234567)), at, n) + per.astype(C.U64)).view(np.int64)
         keep = np.flatnonzero(per > 0)
+        m1, m2 = marks(reg[keep, :MARKS])
         yield pa.RecordBatch.from_arrays(
-            [b.column(0).take(pa.array(keep)), pa.array(digest[keep]), pa.array(per[keep]), pa.array([r.tobytes() for r in reg[keep]], pa.binary())],
-            ["doc_id", "digest", "n", "reg"],
+            [b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), pa.array(digest[keep]), pa.array(per[keep]), pa.array(m1), pa.array(m2), pa.array([r.tobytes() for r in reg[keep]], pa.binary())],
+            ["doc_id", "rid", "id", "n", "m1", "m2", "reg"],
         )
 
 
@@ -104,62 +110,83 @@ def _estimated(batches):
 
 
 def _members(batches):
-    for b in C.slices(batches):
+    for b in C.slices(batches, 1, SLICE):
         buf, off = C.text_bytes(b.column(1))
         h, row, _, _ = C.words(buf, off)
         s, at = _sets(*C.shingles(h, row, SHINGLE))
         per = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=b.num_rows))])
-        yield pa.RecordBatch.from_arrays([b.column(0), C.list_array(s.view(np.int32), per, pa.int32())], ["doc_id", "members"])
-
-
-def _with_sets(ids: DataFrame, reps: DataFrame, texts: DataFrame, tables: C.Tables) -> DataFrame:
-    """(doc_id, n, reg, members) of the ids. The join shuffles at every size, so that plans stay alike as tables grow."""
-    named = texts.join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")
-    members = named.mapInArrow(_members, "doc_id long, members array<int>").groupBy("doc_id").agg(F.first("members").alias("members"))
-    return tables.write(members.join(reps, "doc_id"))
+        yield pa.RecordBatch.from_arrays([b.column(0), C.list_array(s.view(np.int32), per, pa.int32())], ["id", "members"])
 
 
 def _verified(known: DataFrame, pairs: DataFrame, tables: C.Tables) -> DataFrame:
     """Those of pairs (a, b) whose exact Jaccard index reaches THRESHOLD."""
-    left = known.select(F.col("doc_id").alias("a"), F.col("reg").alias("ra"), F.col("n").alias("na"))
-    right = known.select(F.col("doc_id").alias("b"), F.col("reg").alias("rb"), F.col("n").alias("nb"))
+    left = known.select(F.col("id").alias("a"), F.col("reg").alias("ra"), F.col("n").alias("na"))
+    right = known.select(F.col("id").alias("b"), F.col("reg").alias("rb"), F.col("n").alias("nb"))
     likely = pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_estimated, "a long, b long")
     likely = tables.write(likely)
-    both = likely.join(known.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
+    both = likely.join(known.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").join(known.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
     common = F.size(F.array_intersect("ma", "mb"))
     out = tables.write(both.where(common >= F.lit(THRESHOLD) * (F.size("ma") + F.size("mb") - common)).select("a", "b"))
     tables.drop(likely)
     return out
 
 
+def _row_hash(docs: DataFrame):
+    """Of a row's doc_id and text: rows that repeat both have the same."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
+def grouped(docs: DataFrame, tables: C.Tables) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rid, lead_doc, lead_rid) of every different (doc_id, text) in a group of two or more, and the (rid) that
+    several rows have."""
+    texts = C.with_id(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("rid"), F.lower("text").alias("text"))
+    sig = tables.write(texts.mapInArrow(_signatures, "doc_id long, rid long, id long, n long, m1 long, m2 long, reg binary"))
+    kinds = tables.write(sig.groupBy("id").agg(F.first("rid").alias("rid"), *(F.first(c).alias(c) for c in ("n", "m1", "m2", "reg"))))  # all rows of an id have the same set
+    rows = kinds.select("id", "reg").mapInArrow(_banded, "id long, band long")
+
+    def sets(ids: DataFrame) -> DataFrame:
+        """(id, n, reg, members) of the ids. The join shuffles at every size, so that plans stay alike as tables grow."""
+        asked = kinds.select("id", "rid").join(ids, "id", "left_semi").hint("merge")
+        members = texts.select("rid", "text").join(asked, "rid").select("id", "text").mapInArrow(_members, "id long, members array<int>").groupBy("id").agg(F.first("members").alias("members"))
+        return tables.write(members.join(kinds.select("id", "n", "reg"), "id"))
+
+    root = bucket_components(rows, kinds, THRESHOLD, sets, lambda known, pairs: _verified(known, pairs, tables), tables)
+    members = sig.select("doc_id", "rid", "id").distinct().join(root, "id", "left").select("doc_id", "rid", F.coalesce("root", "id").alias("root"))
+    # a group's leader, and whether it has another (doc_id, text): sums and minima only, which are made before the shuffle
+    lead = members.groupBy("root").agg(F.min("doc_id").alias("lead_doc"), F.count("*").alias("size")).where("size > 1").select("root", "lead_doc")
+    many = tables.write(members.join(lead, "root"))
+    first = many.where("doc_id = lead_doc").groupBy("root").agg(F.min("rid").alias("lead_rid"))
+    out = tables.write(many.join(first, "root").select("doc_id", "rid", "lead_doc", "lead_rid"))
+    again = tables.write(sig.groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").select("rid"))
+    tables.drop(sig, kinds, root, many)
+    return out, again
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, group_id) of all documents in groups of two or more; group_id is the group's least doc_id, which stays."""
-    spark = docs.sparkSession
-    tables = C.Tables(spark, "near")
-    texts = C.with_id(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    sig = tables.write(texts.mapInArrow(_signatures, "doc_id long, digest long, n long, reg binary"))
-    one = sig.groupBy("doc_id").agg(F.min(F.struct("digest", "n")).alias("k")) .select("doc_id", "k.digest", "k.n")
-    same = one.groupBy("digest", "n").agg(F.min("doc_id").alias("doc_id"))
-    kinds = tables.write(sig.groupBy("digest", "n").agg(F.first("reg").alias("reg")).join(same, ["digest", "n"]))
-    reps = kinds.select("doc_id", "n", "reg")
-    rows = reps.select("doc_id", "reg").mapInArrow(_banded, "id long, band long")
-    root = bucket_components(rows, lambda ids: _with_sets(ids, reps, texts, tables), lambda known, pairs: _verified(known, pairs, tables), tables)
-    rep = one.join(same.withColumnRenamed("doc_id", "rep"), ["digest", "n"]).select("doc_id", "rep")
-    all_of = rep.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("group_id"))
-    many = all_of.groupBy("group_id").agg(F.count("*").alias("size")).where("size > 1").select("group_id")
-    out = tables.write(all_of.join(many, "group_id").select("doc_id", "group_id"))
-    tables.drop(sig, kinds, root)
-    return out
+    tables = C.Tables(docs.sparkSession, "near")
+    found, _ = grouped(docs, tables)
+    # groups within one doc_id aren't listed
+    others = found.groupBy("lead_doc", "lead_rid").agg(F.max("doc_id").alias("most")).where("most > lead_doc").select("lead_doc", "lead_rid")
+    return found.join(others, ["lead_doc", "lead_rid"], "left_semi").select("doc_id", F.col("lead_doc").alias("group_id")).distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without those that near-repeat one of a lower doc_id; columns as they came. Rows without a doc_id or
-    without words stay; of rows that repeat a doc_id one stays."""
-    gone = near_duplicates(docs).where("doc_id <> group_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
+    """Documents without those that near-repeat another one; columns as they came. Of each group its leader stays; of rows
+    that repeat doc_id and text one stays, by the hash of its columns. Rows without a doc_id or without words stay."""
+    tables = C.Tables(docs.sparkSession, "keep")
+    found, again = grouped(docs, tables)
+    gone = found.where("rid <> lead_rid").select("rid").distinct()
+    (rid,) = C.free_name(docs, "_rid")
+    named = docs.withColumn(rid, F.when(docs["doc_id"].isNotNull() & docs["text"].isNotNull(), _row_hash(docs)))
+    gone, again = (x.withColumnRenamed("rid", rid).hint("merge") for x in (gone, again))
+    own = [C.col(c) for c in docs.columns]
+    out = named.join(gone, rid, "left_anti")
+    if again.isEmpty():
+        return out.select(*own)
+    row = F.struct(*own)
+    once = out.join(again, rid, "left_semi").groupBy(rid).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return out.join(again, rid, "left_anti").select(*own).union(once)
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
