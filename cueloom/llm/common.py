@@ -80,6 +80,10 @@ class Tables:
         out._shared_path = path
         return out
 
+    def release(self) -> None:
+        """Shuffle files stay on the executors' disks until the driver collects its garbage; after a large step, now."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Only for tables that no later plan reads."""
         for t in tables:

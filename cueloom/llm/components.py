@@ -116,19 +116,24 @@ def least_agreeing(threshold: float, errors: float = 4.0) -> int:
 def bucket_components(rows: DataFrame, marked: DataFrame, threshold: float, prepare: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], tables: Tables) -> DataFrame:
     """(id, root) of the components of the graph whose edges are the pairs that share a band and that verify() keeps.
 
-    rows: (band, id). marked: (id, m1, m2), a written table. Pairs whose marks show that they are far below the threshold
+    rows: (band, id), each once. marked: (id, m1, m2), a written table. Pairs whose marks show that they are far below the threshold
     are left out inside the join. prepare: DataFrame of the ids (id) that share a band -> what verify needs of them, a
     written table. verify: that and a DataFrame of (a, b) -> those of it that are similar, in a written table. A large
     bucket isn't compared pair by pair: every member is compared with the least one, and after union-find two members
     only where they are still in different components. The components are those that all pairs would give.
     """
     enough = least_agreeing(threshold)
-    shared = rows.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("band", "least")
-    rows = tables.write(rows.join(shared, "band").join(marked.select("id", "m1", "m2").hint("merge"), "id"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
+    rows = tables.write(rows.join(shared, "band"))
+    tables.release()
+    all_rows, rows = rows, tables.write(rows.join(marked.select("id", "m1", "m2").hint("merge"), "id"))
+    tables.drop(all_rows)
     known = prepare(rows.select("id").distinct())
-    head = rows.where("id = least").select("band", F.col("id").alias("a"), F.col("m1").alias("xm1"), F.col("m2").alias("xm2"))
-    rest = rows.where("id <> least").select("band", F.col("id").alias("b"), F.col("m1").alias("ym1"), F.col("m2").alias("ym2"))
-    pairs = tables.write(head.join(rest, "band").where(agreeing("x", "y") >= enough).select("a", "b").distinct())
+    tables.release()
+    least = rows.groupBy("band").agg(F.min("id").alias("least"))
+    head = rows.join(least, "band").where("id = least").select("band", F.col("id").alias("a"), F.col("m1").alias("xm1"), F.col("m2").alias("xm2"))
+    rest = rows.select("band", F.col("id").alias("b"), F.col("m1").alias("ym1"), F.col("m2").alias("ym2"))
+    pairs = tables.write(head.join(rest, "band").where((F.col("a") != F.col("b")) & (agreeing("x", "y") >= enough)).select("a", "b").distinct())
     first = verify(known, pairs)
     root = tables.write(components(first, tables))
     placed = rows.select("band", "id", "m1", "m2").join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -201,8 +201,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     hit = F.lit(False)
     for h in hints:
         hit |= F.col("text").contains(h)
-    some = low.where(hit).groupBy("doc_id").agg(F.min("text").alias("text"))
-    return some.mapInArrow(find, "doc_id long, license_id string, occurrences long")
+    return low.where(hit).mapInArrow(find, "doc_id long, license_id string, occurrences long").distinct()
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +212,7 @@ def sql() -> str:
     rows = ", ".join(f"('{k}', '\\b{regex(parse(v))}')" for k, v in TEMPLATES.items())
     return f"""
 WITH t(license_id, pattern) AS (VALUES {rows}),
-d AS (SELECT doc_id, ' ' || regexp_replace(min(lower(text)), '[^a-z0-9]+', ' ', 'g') || ' ' AS s FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id),
+d AS (SELECT DISTINCT doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' AS s FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 m AS (SELECT doc_id, license_id, len(regexp_extract_all(s, pattern)) AS occurrences FROM d, t)
-SELECT doc_id, license_id, CAST(occurrences AS BIGINT) AS occurrences FROM m WHERE occurrences > 0
+SELECT DISTINCT doc_id, license_id, CAST(occurrences AS BIGINT) AS occurrences FROM m WHERE occurrences > 0
 """

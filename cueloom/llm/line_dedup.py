@@ -213,6 +213,9 @@ def duplicate_lines(docs: DataFrame, tables: C.Tables | None = None) -> DataFram
     texts = _numbered(docs)
     lines = tables.write(texts.select("doc_id", "rid", F.lower("text").alias("text")).mapInArrow(_lines, _LINES))
     kinds = _kinds(lines, tables)
+    wide, lines = lines, tables.write(lines.select("doc_id", "rid", "line_no", "h1", "h2"))
+    tables.drop(wide)
+    tables.release()
     rows = kinds.select("id", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band"))
 
     def texts_of(ids: DataFrame) -> DataFrame:

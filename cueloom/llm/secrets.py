@@ -7,9 +7,9 @@ assigned to it in the text, and joined parts make one literal. A pair's score is
 words may be a passphrase, with words of a sentence they hardly are), no placeholder; a private key in PEM form is one.
 A literal whose own form names its issuer (a known prefix and length), and a PEM private key, count with no target as well.
 
-Cases: null ids and null or empty texts give no rows; every position is listed once, with its best score; repeated rows
-of one doc_id are scanned once (the least text, if they differ); an empty table gives an empty result; other columns
-are ignored. Positions count characters from 0.
+Cases: null ids and null or empty texts give no rows; of equal places the best score counts, the first among equals; every text
+of a repeated doc_id is scanned, and equal findings are listed once; of one text every position is listed once; very
+long texts are scanned whole; an empty table gives an empty result; other columns are ignored. Positions count characters from 0.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s\\:,\-]*?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
 _PEM_HEAD = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
 _PART = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`[^`\n]*+`|[A-Za-z0-9_./+\-=$<>{}~!@#%^&*]+"
-_NAME = re.compile(r"(?<![\w.\-])([A-Za-z_][\w.\-]{0,127})[\"']?[ \t]*(?:=>|:=|(?<![=!<>])=(?!=)|:(?!//))[ \t]*(?=\S)")
+_NAME = re.compile(r"(?<![\w.\-])([A-Za-z_][\w.\-]*+)[\"']?[ \t]*(?:=>|:=|(?<![=!<>])=(?!=)|:(?!//))[ \t]*(?=\S)")
 _RHS = re.compile(_PART)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
