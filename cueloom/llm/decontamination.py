@@ -1,16 +1,19 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-All documents are cut in passages of PASSAGE words; their TF-IDF matrix (words hashed to TERMS columns) is decomposed
-by a randomised SVD: each partition adds its part of A'A times a random matrix, and Nystroem's method turns that one
-pass into singular vectors. Windows over the documents, as long as the benchmark's items, and the items themselves are
-folded into that space; those whose cosine reaches NEAR are candidates. A candidate is a leak if the longest common
-subsequence of words covers VERBATIM of the item, or, as a paraphrase, PARAPHRASE of it and ANSWER of its answer (the
-column `answer` of the benchmark if it has one, else the item's last sentence).
-
-Cases: null ids or texts on either side, empty texts and items of fewer than LEAST_WORDS words (which chance would
-match) give no rows; texts shorter than a window are one window; repeated rows are found once; no documents or no items give an
-empty result; other columns are ignored (op) or returned as they are (stage, which drops the documents that leak;
-rows without an id or a text stay).
+All documents are cut in passages of PASSAGE words; their TF-IDF matrix (words hashed to TERMS columns, passages of
+length 1) is decomposed by a randomised SVD: every passage is added, with a random sign, to one of SKETCH rows, the
+sums' columns are scaled to length 1, and their singular vectors are the latent space. Windows over the documents, as long as the benchmark's items
+or up to half as long again, and the items themselves are folded into that space; those whose cosine reaches NEAR are
+candidates. Of these a bound is tested first: a window of REACH item lengths must hold PARAPHRASE of the item's words.
+Then the item leaks if in such a window the longest common subsequence of words covers VERBATIM of the item, or, as a
+paraphrase, PARAPHRASE of it and ANSWER of its answer (the column `answer` of the benchmark if it has one, else the
+item's last sentence). Items of fewer than LEAST_WORDS words, which chance would match, leak where they stand as they are.
+
+Cases: null ids or texts on either side and texts without words give no rows; texts shorter than a window are one
+window; very long texts are searched whole; repeated rows, and several texts of one doc_id, are found once, the largest
+share counting and among equal shares the kind "verbatim"; no documents or no items give an empty result; other columns
+are ignored (op) or returned as they are (stage, which drops the rows whose text leaks; rows without an id or a text
+stay), whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +31,16 @@ from . import common as C
 PASSAGE = 48
 TERM_BITS = 14
 TERMS = 1 << TERM_BITS
-RANK, OVER = 48, 16
-LENGTHS = (8, 12, 16, 24, 32, 48, 64, 96, 128)
-NEAR = 0.55
+RANK, SKETCH = 128, 144
+#: Words of a block; windows begin and end between blocks.
+STEP = 4
+NEAR = 0.5
+REACH = 1.5
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 LEAST_WORDS = 5
 #: Items that are searched at once; more are searched in turns.
 ITEMS = 20_000
+SLICE = 1 << 17
 
 
 def _terms(h: np.ndarray) -> np.ndarray:
@@ -50,47 +56,40 @@ def _passages(row: np.ndarray) -> np.ndarray:
 
 
 def _pairs(batch):
-    """(passage, term, count) of every distinct pair of the slice, by passage."""
+    """(passage, term, count) of every distinct pair of the slice, by passage, and a hash of each passage's words."""
     h, row, _, _ = C.words(*C.text_bytes(batch.column(0)))
     if not len(h):
         e = np.empty(0, np.int64)
-        return e, e, e
-    key = np.sort((_passages(row) << TERM_BITS) | _terms(h))
+        return e, e, e, np.empty(0, C.U64)
+    passage = _passages(row)
+    key = np.sort((passage << TERM_BITS) | _terms(h))
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[at] >> TERM_BITS, key[at] & (TERMS - 1), np.diff(np.concatenate([at, [len(key)]]))
+    return key[at] >> TERM_BITS, key[at] & (TERMS - 1), np.diff(np.concatenate([at, [len(key)]])), C.mix(C.sums(h, passage, int(passage[-1]) + 1))
 
 
 def _frequencies(batches):
     total = np.zeros(TERMS + 1, np.int64)  # the last is the number of passages
-    for b in C.slices(batches, 0):
-        p, t, _ = _pairs(b)
+    for b in C.slices(batches, 0, SLICE):
+        p, t, _, each = _pairs(b)
         total[:TERMS] += np.bincount(t, minlength=TERMS)
-        total[TERMS] += p[-1] + 1 if len(p) else 0
+        total[TERMS] += len(each)
     yield C.blocks_of(total)
 
 
-def _omega() -> np.ndarray:
-    return np.random.default_rng(5).standard_normal((TERMS, RANK + OVER)).astype(np.float32)
-
-
 def _sketch_with(idf: np.ndarray):
     def sketch(batches):
-        omega = _omega()
-        k = omega.shape[1]
-        total = np.zeros((TERMS, k))
-        for b in C.slices(batches, 0, 1 << 18):
-            p, t, n = _pairs(b)
+        total = np.zeros(SKETCH * TERMS, np.float32)
+        for b in C.slices(batches, 0, SLICE):
+            p, t, n, each = _pairs(b)
             if not len(p):
                 continue
-            w = (n * idf[t]).astype(np.float32)
-            first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-            norm = np.sqrt(np.add.reduceat(w * w, first))
-            w /= np.maximum(norm, 1e-12)[p]
-            y = np.add.reduceat(omega[t] * w[:, None], first)  # one row a passage
-            order = np.argsort(t.astype(np.uint16), kind="stable")
-            ts = t[order]
-            head = np.flatnonzero(np.concatenate([[True], ts[1:] != ts[:-1]]))
-            total[ts[head]] += np.add.reduceat(y[p[order]] * w[order][:, None], head)
+            w = n * idf[t].astype(float)
+            norm = np.sqrt(np.bincount(p, w * w))
+            sign = np.where(each & C.U64(1), 1.0, -1.0) / np.maximum(norm, 1e-12)
+            to = ((each >> C.U64(32)) % C.U64(SKETCH)).astype(np.int64)
+            # float32 sums of what float64 adds up in a slice
+            key, at = np.unique(to[p] * TERMS + t, return_inverse=True)
+            total[key] += np.bincount(at, w * sign[p]).astype(np.float32)
         yield C.blocks_of(total)
 
     return sketch
@@ -102,24 +101,18 @@ class Space:
     def __init__(self, docs: DataFrame):
         text = docs.where("text is not null").select(F.lower("text").alias("text"))
         f = C.summed(text.mapInArrow(_frequencies, C._BLOCKS), np.int64, (TERMS + 1,))
-        self.idf = np.log((1 + f[TERMS]) / (1 + f[:TERMS])).astype(np.float32) + np.float32(1)
-        y = C.summed(text.mapInArrow(_sketch_with(self.idf), C._BLOCKS), np.float64, (TERMS, RANK + OVER))
-        omega = _omega().astype(float)
-        shift = 1e-9 * max(np.linalg.norm(y), 1e-30)
-        y = y + shift * omega
-        core = omega.T @ y
-        chol = np.linalg.cholesky((core + core.T) / 2 + shift * np.eye(len(core)))
-        u, s, _ = np.linalg.svd(np.linalg.solve(chol, y.T).T, full_matrices=False)
-        keep = s[:RANK] > s[0] * 1e-4 if len(s) else []
-        u, s = u[:, :RANK][:, keep], s[:RANK][keep]
+        self.idf = np.log((1 + f[TERMS]) / (1 + f[:TERMS])).astype(np.float32)
+        rows = C.summed(text.mapInArrow(_sketch_with(self.idf), C._BLOCKS), np.float32, (SKETCH, TERMS)).astype(float)
+        rows /= np.maximum(np.linalg.norm(rows, axis=0), 1e-12)  # else frequent terms alone would make up the space
+        # the right singular vectors, by way of the small side
+        lam, q = np.linalg.eigh(rows @ rows.T)
+        lam, q = lam[::-1][:RANK], q[:, ::-1][:, :RANK]
+        keep = lam > lam[0] * 1e-8 if len(lam) and lam[0] > 0 else np.zeros(len(lam), bool)
+        s, q = np.sqrt(lam[keep]), q[:, keep]
+        u = rows.T @ q / s
         u = u * np.where(u[np.abs(u).argmax(0), np.arange(u.shape[1])] < 0, -1, 1)
         self.map = (u / s).astype(np.float32) * self.idf[:, None]
 
-    def fold(self, h: np.ndarray) -> np.ndarray:
-        x = self.map[_terms(h)].sum(0, dtype=np.float64)
-        n = np.linalg.norm(x)
-        return (x / n if n else x).astype(np.float32)
-
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, by bits (Hyyroe)."""
@@ -133,7 +126,7 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
         if m:
             u = v & m
             v = ((v + u) | (v - u)) & full
-    return len(a) - bin(v).count("1")
+    return len(a) - v.bit_count()
 
 
 class Item:
@@ -145,11 +138,11 @@ class Item:
             parts = [x for x in re.split(r"[.!?\n]+", low) if re.search(r"\w", x)]
             answer = parts[-1] if parts else ""
         self.answer = C.words(*C.text_bytes(pa.array([answer.lower()])))[0]
-
-    def length(self) -> int:
-        return next((n for n in LENGTHS if n >= len(self.h)), LENGTHS[-1])
+        self.reach = math.ceil(REACH * len(self.h))
+        self.fewest = math.ceil(PARAPHRASE * len(self.h) - 1e-9)
 
     def leaks(self, words: np.ndarray) -> tuple[float, str] | None:
+        """Within these words."""
         share = lcs(self.h, words) / len(self.h)
         if share >= VERBATIM:
             return share, "verbatim"
@@ -158,76 +151,160 @@ class Item:
         return None
 
 
-def windows(table: np.ndarray, t: np.ndarray, row: np.ndarray, length: int):
-    """Unit vectors of the windows of `length` words, a quarter of it apart, and the first word of each."""
-    stride = max(2, length // 4)
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    size = np.diff(np.concatenate([first, [len(row)]]))
-    place = np.arange(len(row)) - np.repeat(first, size)
-    start = np.flatnonzero(place % stride == 0)
-    sums = np.zeros((len(start) + 1, table.shape[1]))
-    np.cumsum(np.add.reduceat(table[t], start), axis=0, dtype=np.float64, out=sums[1:])
-    blocks = -(-size // stride)
-    stop = np.repeat(np.cumsum(blocks), blocks)
-    end = np.minimum(np.arange(len(start)) + length // stride, stop)
-    # a window that only repeats the end of the one before is left out
-    keep = (np.arange(len(start)) == stop - np.repeat(blocks, blocks)) | (np.arange(len(start)) + length // stride <= stop)
-    v = (sums[end[keep]] - sums[:-1][keep]).astype(np.float32)
-    norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-    v /= np.maximum(norm, 1e-12)[:, None]
-    return v, start[keep]
+def window_length(n: int) -> int:
+    """The least of 8, 12, 16, 24, 32, 48 and so on that isn't less than n, in words."""
+    k = 8
+    while k < n:
+        k = k * 3 // 2 if k & (k - 1) == 0 else k * 4 // 3
+    return k
+
+
+class Blocks:
+    """Latent sums over the blocks of STEP words of a slice's rows; after each row, blocks of nothing."""
+
+    def __init__(self, table: np.ndarray, t: np.ndarray, row: np.ndarray, longest: int):
+        """table: of the terms, and a last row of zeros."""
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        self.words = np.diff(np.concatenate([first, [len(row)]]))
+        self.size = -(-self.words // STEP)
+        self.first, room = first, self.size + (longest // STEP - 1)
+        self.start = np.cumsum(room) - room
+        padded = np.full(int(room.sum()) * STEP, len(table) - 1)
+        padded[np.arange(len(row)) - np.repeat(first, self.words) + np.repeat(self.start, self.words) * STEP] = t
+        v = table[padded[0::STEP]]
+        for k in range(1, STEP):
+            v += table[padded[k::STEP]]
+        self.sums = {1: v}
+
+    def _sum(self, k: int) -> np.ndarray:
+        """Of k blocks from each one on, k being a power of two or three times one."""
+        if k not in self.sums:
+            a, b = (k // 2, k // 2) if k & (k - 1) == 0 else (k * 2 // 3, k // 3)
+            x, y = self._sum(a), self._sum(b)
+            n = len(self.sums[1])
+            out = x[: n - k + 1] + y[a : a + n - k + 1]
+            self.sums[k] = out
+        return self.sums[k]
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the windows of `length` words, about a quarter of it apart, and the first word of each."""
+        k, stride = length // STEP, max(1, length // (4 * STEP))
+        many = np.maximum(1, -(-(self.size - k) // stride) + 1)
+        which = np.repeat(np.arange(len(many)), many)
+        block = (np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)) * stride
+        return self._sum(k)[self.start[which] + block], self.first[which] + block * STEP
+
+
+class Search:
+    """What a worker needs for some items."""
+
+    def __init__(self, space_map: np.ndarray, items: list[Item], near: float):
+        self.near, self.items = near, items
+        self.table = np.concatenate([space_map, np.zeros((1, space_map.shape[1]), np.float32)])
+        self.groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        by: dict[int, list[int]] = {}
+        for i, x in enumerate(items):
+            by.setdefault(window_length(len(x.h)), []).append(i)
+        for n, who in by.items():
+            f = np.array([space_map[_terms(items[i].h)].sum(0, dtype=np.float64) for i in who])
+            f /= np.maximum(np.linalg.norm(f, axis=1), 1e-12)[:, None]
+            self.groups[n] = np.array(who), f.astype(np.float32)
+        self.longest = max(by, default=8)
+        # the items' words as a hashed set; it may hold more, never less
+        self.bits = max(10, (32 * sum(len(x.h) for x in items)).bit_length())
+        self.salt = (C.seeded(max(len(items), 1), 61) >> C.U64(32)).astype(np.uint32)
+        self.held = np.zeros(1 << self.bits, bool)
+        for i, x in enumerate(items):
+            self.held[self._place(x.h, self.salt[i])] = True
+        self.reach = np.array([x.reach for x in items], np.int64)
+        self.fewest = np.array([x.fewest for x in items], np.int64)
+
+    def _place(self, h: np.ndarray, salt) -> np.ndarray:
+        return (((h >> C.U64(20)).astype(np.uint32) ^ salt) * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)
+
+    def _likely(self, h: np.ndarray, start: np.ndarray, item: np.ndarray, length: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of candidates: where, about the window, the words that hold most of the item begin; -1 if they can't hold enough."""
+        out = np.full(len(start), -1)
+        for k in range(0, len(start), 4096):
+            s, i, a, b = (x[k : k + 4096] for x in (start, item, lo, hi))
+            wide = int(self.reach[i].max(initial=1))
+            at = (s - wide // 2)[:, None] + np.arange(length + wide)
+            inside = (at >= a[:, None]) & (at < b[:, None])
+            hit = self.held[self._place(h[np.clip(at, 0, len(h) - 1)], self.salt[i][:, None])] & inside
+            total = np.zeros((len(s), hit.shape[1] + 1), np.int32)
+            np.cumsum(hit, axis=1, out=total[:, 1:])
+            for r in np.unique(self.reach[i]):
+                own = np.flatnonzero(self.reach[i] == r)
+                held = total[own, r:] - total[own, :-r]
+                most = held.argmax(1)
+                enough = held[np.arange(len(own)), most] >= self.fewest[i[own]]
+                out[k + own[enough]] = np.maximum(at[own, most], a[own])[enough]
+        return out
+
+    def found(self, h: np.ndarray, row: np.ndarray):
+        """(row, item, share, kind) of every leak in a slice; h, row: of its words."""
+        blocks = Blocks(self.table, _terms(h), row, self.longest)
+        of_first = np.repeat(np.arange(len(blocks.first)), blocks.words)
+        todo: dict[tuple[int, int], set[int]] = {}
+        for n, (who, folded) in self.groups.items():
+            v, start = blocks.windows(n)
+            least = self.near * np.sqrt(np.einsum("ij,ij->i", v, v))
+            for k in range(0, len(who), 1024):
+                w, i = np.nonzero(v @ folded[k : k + 1024].T >= np.maximum(least, 1e-12)[:, None])
+                s, i = start[w], who[i + k]
+                lo = blocks.first[of_first[s]]
+                hi = lo + blocks.words[of_first[s]]
+                best = self._likely(h, s, i, n, lo, hi)
+                ok = best >= 0
+                for a, j, x, y in zip(best[ok].tolist(), i[ok].tolist(), lo[ok].tolist(), hi[ok].tolist()):
+                    step = max(1, len(self.items[j].h) // 8)
+                    last = max(x, y - self.items[j].reach)
+                    todo.setdefault((x, j), set()).update(max(x, min(b, last)) for b in (a - step, a, a + step))
+        for (x, j), starts in todo.items():
+            item, best = self.items[j], None
+            end = x + int(blocks.words[of_first[x]])
+            for b in sorted(starts):
+                got = item.leaks(h[b : min(end, b + item.reach)])
+                best = max(best, got) if best and got else best or got
+            if best:
+                yield int(row[x]), item, *best
+
+
+def _phrases(items: list[Item]) -> dict[int, dict[int, list[Item]]]:
+    """Of short items: by length, the hash of their words."""
+    out: dict[int, dict[int, list[Item]]] = {}
+    for x in items:
+        key, _ = C.shingles(x.h, np.zeros(len(x.h), np.int64), len(x.h))
+        out.setdefault(len(x.h), {}).setdefault(int(key[0]), []).append(x)
+    return out
 
 
 def _search_with(space_map: np.ndarray, items: list[Item], near: float):
-    groups: dict[int, list[int]] = {}
-    for i, x in enumerate(items):
-        groups.setdefault(x.length(), []).append(i)
-    folded = {}
-    for n, who in groups.items():
-        f = []
-        for i in who:
-            x = space_map[_terms(items[i].h)].sum(0, dtype=np.float64)
-            f.append(x / max(np.linalg.norm(x), 1e-12))
-        folded[n] = np.array(f, np.float32)
-
     def search(batches):
-        for b in C.slices(batches, 1, 1 << 18):
+        it = Search(space_map, [x for x in items if len(x.h) >= LEAST_WORDS], near)
+        phrases = _phrases([x for x in items if 0 < len(x.h) < LEAST_WORDS])
+        for b in C.slices(batches, 1, SLICE):
             ids = b.column(0).to_pylist()
             h, row, _, _ = C.words(*C.text_bytes(b.column(1)))
             if not len(h):
                 continue
-            t = _terms(h)
-            lo = np.searchsorted(row, np.arange(len(ids)))
-            hi = np.searchsorted(row, np.arange(len(ids)), "right")
-            out = []
-            for n, who in groups.items():
-                v, start = windows(space_map, t, row, n)
-                for k in range(0, len(who), 1024):
-                    w, i = np.nonzero(v @ folded[n][k : k + 1024].T >= near)
-                    # windows of one text and item that touch are tried together
-                    hits = sorted(zip(row[start[w]].tolist(), (i + k).tolist(), start[w].tolist()))
-                    at = 0
-                    while at < len(hits):
-                        r, j, s = hits[at]
-                        item = items[who[j]]
-                        reach = max(n, len(item.h))
-                        e = s + reach
-                        at += 1
-                        while at < len(hits) and hits[at][:2] == (r, j) and hits[at][2] <= e:
-                            e = hits[at][2] + reach
-                            at += 1
-                        got = item.leaks(h[max(lo[r], s - reach // 2) : min(hi[r], e + reach // 2)])
-                        if got:
-                            out.append((ids[r], item.id, *got))
+            out = [(ids[r], x.id, share, kind) for r, x, share, kind in it.found(h, row)] if it.items else []
+            for n, short in phrases.items():
+                key, at = C.shingles(h, row, n)
+                for k in np.flatnonzero(np.isin(key, np.array(list(short), C.U64))):
+                    # a text of fewer words has one shingle, which has another hash
+                    out += [(ids[at[k]], x.id, 1.0, "verbatim") for x in short[int(key[k])]]
             cols = list(zip(*out)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.string()))], ["doc_id", "item_id", "share", "kind"])
 
     return search
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR, at_once: int = ITEMS) -> DataFrame:
-    """(doc_id, item_id, share, kind) of every item that a document leaks."""
-    text = C.with_id(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+_FOUND = "doc_id long, item_id long, share double, kind string"
+
+
+def _leaks(text: DataFrame, docs: DataFrame, benchmark: DataFrame, near: float, at_once: int) -> DataFrame:
+    """Rows of _FOUND. text: (doc_id, text in lower case), the id being what names a row."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text", (F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")).alias("answer"))
     turns = max(1, math.ceil(items.count() / at_once))
     space = Space(docs).map
@@ -235,16 +312,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR, at_once: in
     out = None
     for k in range(turns):
         mine = items if turns == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == k)
-        some = [x for x in (Item(*r) for r in sorted(mine.collect(), key=lambda r: (r["item_id"], r["text"]))) if len(x.h) >= LEAST_WORDS]
-        found = text.mapInArrow(_search_with(space, some, near), "doc_id long, item_id long, share double, kind string")
+        some = [Item(*r) for r in sorted(mine.collect(), key=lambda r: (r["item_id"], r["text"], r["answer"] or ""))]
+        found = text.mapInArrow(_search_with(space, some, near), _FOUND)
         found = tables.write(found) if tables else found
         out = found if out is None else out.union(found)
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR, at_once: int = ITEMS) -> DataFrame:
+    """(doc_id, item_id, share, kind) of every item that a document leaks."""
+    text = C.with_id(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    out = _leaks(text, docs, benchmark, near, at_once)
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "kind")).alias("m")).select("doc_id", "item_id", F.round("m.share", 6).alias("share"), "m.kind")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak no item; columns as they came."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows whose text leaks no item; columns as they came."""
+    (rid,) = C.free_name(docs, "_rid")
+    named = docs.withColumn(rid, F.when(docs["doc_id"].isNotNull() & docs["text"].isNotNull(), F.xxhash64(docs["doc_id"].cast("long"), docs["text"])))
+    text = named.where(F.col(rid).isNotNull()).select(F.col(rid).alias("doc_id"), F.lower(docs["text"]).alias("text"))
+    gone = _leaks(text, docs, benchmark, NEAR, ITEMS).select(F.col("doc_id").alias(rid)).distinct()
+    return named.join(gone, rid, "left_anti").select(*(C.col(c) for c in docs.columns))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ takes it from a start: all mandatory words, exactly and in order.
 Only texts that hold a template's longest mandatory word as a substring are tried: no other text can be accepted.
 
 Cases: null ids and null or empty texts give no rows; matches of one license in a text are counted from left to right,
-the longest first, without overlap; repeated rows of one doc_id are scanned once (the least text, if they differ);
-an empty table gives an empty result; other columns are ignored.
+the longest first, without overlap; every text of a repeated doc_id is scanned, and equal rows are listed once; very long
+texts are scanned whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

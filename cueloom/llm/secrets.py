@@ -126,8 +126,7 @@ def scan(docs: DataFrame) -> DataFrame:
     hit = t.contains("=") | t.contains(":")
     for p in ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "PRIVATE KEY-----"):
         hit |= t.contains(p)
-    some = rows.where(hit).groupBy("doc_id").agg(F.min("text").alias("text"))
-    return some.mapInArrow(_find, "doc_id long, start_pos long, end_pos long, target string, score double, rule string")
+    return rows.where(hit).mapInArrow(_find, "doc_id long, start_pos long, end_pos long, target string, score double, rule string").distinct()
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
