@@ -6,17 +6,19 @@ that occur equally often share one token and its vectors, and each has an equal
 word that the corpus doesn't hold counts like one that occurs once. The start of a text is a token of its own. The
 model predicts a word from the CONTEXT words before it: their vectors, weighted entry by entry for each place, add up
 to a prediction. Its product with a vector, plus a bias, is a score. Up to VOCABULARY tokens there is one softmax; with
-more, the most frequent tokens and classes of the other ones (by frequency, of about the root of their number) share a
-softmax, and each class has one over its tokens.
+more, the other ones are in classes (by frequency, of about the third root of their number) and the classes in groups:
+the most frequent tokens and the groups share a softmax, each group has one over its classes and each class one over
+its tokens.
 
 It is trained in numpy by noise-contrastive estimation: against NOISE samples of the unigram distribution, shared by a
-batch, without normalising; the tokens that are in classes once more, against samples of such tokens. Every partition
+batch, without normalising; the tokens that are in classes, and their classes, once more against samples of such. Every partition
 of the corpus trains on all its tokens, from the same start (the unigram model), and the parameters are averaged with
-the partitions' tokens as weights, a token's own vectors with its occurrences. Scoring normalises both softmaxes by
+the partitions' tokens as weights, a token's own vectors with its occurrences. Scoring normalises the softmaxes by
 batched matrix products, the first once for each distinct context of a slice.
 
 Cases: a null or empty text has 0 tokens, log-probability 0 and no perplexity; every row gets a row, repeated ones
-too, and ids may be null; an empty table gives an empty result; other columns are ignored.
+too, and ids may be null; words of equal count go by their hash where the order of tokens must be settled; very long
+texts are scored whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,10 +41,40 @@ SEED = 4
 BLOCK, SHARED = 256, 1 << 14
 
 
+#: Words of a partition that are counted before their counts go on.
+HELD = 1 << 20
+
+
+def _added(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    h, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[at], np.add.reduceat(n, at)
+
+
 def _count(batches):
-    for b in C.slices(batches, 0, 1 << 22):
-        h, n = np.unique(C.words(*C.text_bytes(b.column(0)))[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+    held, size = [], 0
+
+    def out(parts):
+        h, n = _added(parts)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    for b in C.slices(batches, 0):
+        h = np.sort(C.words(*C.text_bytes(b.column(0)))[0])
+        if not len(h):
+            continue
+        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        held.append((h[at], np.diff(np.concatenate([at, [len(h)]]))))
+        size += len(at)
+        if size >= HELD:
+            held = [_added(held)]
+            size = len(held[0][0])
+            if size >= HELD // 2:
+                yield out(held)
+                held, size = [], 0
+    if held:
+        yield out(held)
 
 
 class Vocabulary:
@@ -79,21 +111,27 @@ class Vocabulary:
 
 
 class Layout:
-    """Units (single tokens, then classes of tokens) for a number of tokens that go by falling frequency."""
+    """Units (single tokens, then groups of classes of tokens) for a number of tokens that go by falling frequency."""
 
     def __init__(self, n: int):
         self.n = n
         self.single = n if n <= VOCABULARY else VOCABULARY // 4
-        self.size = max(1, math.isqrt(n - self.single))
-        self.units = self.single + -(-(n - self.single) // self.size)
+        self.size = max(1, round((n - self.single) ** (1 / 3)))
+        self.classes = -(-(n - self.single) // self.size)
+        self.per = max(1, math.isqrt(self.classes))
+        self.units = self.single + -(-self.classes // self.per)
+
+    def of_class(self, w: np.ndarray) -> np.ndarray:
+        return (w - self.single) // self.size
 
     def unit(self, w: np.ndarray) -> np.ndarray:
-        return np.where(w < self.single, w, self.single + (w - self.single) // self.size)
+        return np.where(w < self.single, w, self.single + self.of_class(w) // self.per)
 
 
 class Parameters:
     """Units' vectors u and biases v, a weight vector c for each place before the word; and for each token, the start
-    of a text being the last, a context vector r, a word vector q and a bias b (rows of own: r, q, b)."""
+    of a text being the last, a context vector r, a word vector q and a bias b (rows of own: r, q, b). After the tokens
+    come the classes, which have no r."""
 
     def __init__(self, layout: Layout, shared: np.ndarray, own: np.ndarray):
         n = layout.units
@@ -103,16 +141,17 @@ class Parameters:
 
     @classmethod
     def full(cls, layout: Layout, value: float) -> Parameters:
-        return cls(layout, np.full(layout.units * (D + 1) + CONTEXT * D, value, np.float32), np.full((layout.n + 1, 2 * D + 1), value, np.float32))
+        return cls(layout, np.full(layout.units * (D + 1) + CONTEXT * D, value, np.float32), np.full((layout.n + 1 + layout.classes, 2 * D + 1), value, np.float32))
 
     @classmethod
     def start(cls, share: np.ndarray) -> Parameters:
         rng = np.random.default_rng(SEED)
         self = cls.full(Layout(len(share)), 0)
-        self.own[:, : 2 * D] = rng.standard_normal((len(share) + 1, 2 * D), np.float32) * np.float32(0.1)
+        self.own[:, : 2 * D] = rng.standard_normal((len(self.own), 2 * D), np.float32) * np.float32(0.1)
         self.u[:] = rng.normal(0, 0.1, self.u.shape)
         self.v[:] = np.log(unit_share(self.layout, share))
-        self.b[:-1], self.c[:] = np.log(share), 1.0
+        self.b[: len(share)], self.c[:] = np.log(share), 1.0
+        self.b[len(share) + 1 :] = np.log(class_share(self.layout, share))
         return self
 
 
@@ -120,6 +159,10 @@ def unit_share(layout: Layout, share: np.ndarray) -> np.ndarray:
     return np.bincount(layout.unit(np.arange(layout.n)), share, layout.units)
 
 
+def class_share(layout: Layout, share: np.ndarray) -> np.ndarray:
+    return np.bincount(layout.of_class(np.arange(layout.single, layout.n)), share[layout.single :], layout.classes)
+
+
 def examples(token: np.ndarray, row: np.ndarray, start: int = 0) -> np.ndarray:
     """For each token the CONTEXT tokens before it in its row, nearest first; `start` before the start."""
     out = np.full((CONTEXT, len(token)), start, np.int64)
@@ -167,9 +210,10 @@ class Trainer:
         self.layout = self.p.layout
         self.square = Parameters.full(self.layout, 1.0)
         self.noise = Noise(unit_share(self.layout, share))
-        self.inner = Noise(share[self.layout.single :], self.layout.single) if self.layout.single < self.layout.n else None
+        if self.layout.classes:
+            self.inner = Noise(share[self.layout.single :], self.layout.single), Noise(class_share(self.layout, share), self.layout.n + 1)
         self.rng = np.random.default_rng(SEED + 1)
-        self.n, self.seen = 0, np.zeros(len(share) + 1, np.int64)
+        self.n, self.seen = 0, np.zeros(len(self.p.own), np.int64)
 
     def _rows(self, kind: slice, at: np.ndarray, g: np.ndarray, n: int) -> None:
         """A step for some columns of the tokens `at`, which may repeat."""
@@ -195,11 +239,16 @@ class Trainer:
         np.subtract.at(gv, x, down.sum(0))
         tail = np.flatnonzero(w >= self.layout.single)
         if len(tail):
-            y, some, t = self.inner.draw(self.rng), pred[tail], w[tail]
-            d, up, down = _contrast(some, p.q, p.b, t, y, self.inner)
-            dpred[tail] += d
-            out = np.concatenate([up[:, None] * some, -(down.T @ some)]), np.concatenate([up, -down.sum(0)])
-            self._rows(slice(D, 2 * D + 1), np.concatenate([t, y]), np.concatenate([out[0], out[1][:, None]], 1), n)
+            some, rows_of, bias_of, at = pred[tail], [], [], []
+            for t, noise in zip((w[tail], self.layout.n + 1 + self.layout.of_class(w[tail])), self.inner):
+                y = noise.draw(self.rng)
+                d, up, down = _contrast(some, p.q, p.b, t, y, noise)
+                dpred[tail] += d
+                at += [t, y]
+                rows_of += [up[:, None] * some, -(down.T @ some)]
+                bias_of += [up, -down.sum(0)]
+            self._rows(slice(D, 2 * D + 1), np.concatenate(at), np.concatenate([np.concatenate(rows_of), np.concatenate(bias_of)[:, None]], 1), n)
+            self.seen += np.bincount(at[2], minlength=len(self.seen))
         for k in range(CONTEXT):
             gc[k] = (dpred * rows[k]).sum(0)
         self._rows(slice(0, D), ctx.ravel(), np.concatenate([dpred * p.c[k] for k in range(CONTEXT)]), n)
@@ -208,7 +257,7 @@ class Trainer:
         p.shared += np.float32(RATE) * f / np.sqrt(self.square.shared)
         self.n += n
         self.seen += np.bincount(w, minlength=len(self.seen))
-        self.seen[-1] += np.count_nonzero(ctx == self.layout.n)
+        self.seen[self.layout.n] += np.count_nonzero(ctx == self.layout.n)
 
     def blocks(self, start: Parameters):
         """(block, n, data): how far the parameters went from the start, and the weights. Shared ones have blocks under 0."""
@@ -281,15 +330,30 @@ def train(docs: DataFrame) -> tuple[Vocabulary, Parameters]:
     return vocabulary, p
 
 
-def _log_sums(s: np.ndarray) -> np.ndarray:
-    """log(sum(exp)) of each row; overwrites s."""
-    m = s.max(1)
-    s -= m[:, None]
-    np.exp(s, out=s)
-    return m + np.log(s.sum(1, dtype=np.float64))
+def _log_sums(pred: np.ndarray, u: np.ndarray, v: np.ndarray, rows: int = 256) -> np.ndarray:
+    """log(sum(exp(pred u' + v))) of each row of pred. The product is taken less a bound of it, so that it can be used at
+    once; where that bound is so far off that nothing is left, less its largest entry."""
+    out = np.empty(len(pred))
+    one = np.ones(len(u), np.float32)
+    wide = np.ascontiguousarray(np.concatenate([u, v[:, None], one[:, None]], 1).T)
+    longest, most = float(np.sqrt(np.einsum("ij,ij->i", u, u).max(initial=0))), float(v.max(initial=-1e30))
+    bound = np.sqrt(np.einsum("ij,ij->i", pred, pred)) * np.float32(longest) + np.float32(most)
+    left = np.concatenate([pred, np.ones((len(pred), 1), np.float32), -bound[:, None]], 1).astype(np.float32)
+    for i in range(0, len(pred), rows):
+        s = left[i : i + rows] @ wide
+        np.exp(s, out=s)
+        out[i : i + rows] = s @ one
+    far = np.flatnonzero(out < 1e-20)
+    with np.errstate(divide="ignore"):
+        out = np.log(out) + bound
+    for i in range(0, len(far), rows):
+        s = (pred[far[i : i + rows]] @ u.T + v).astype(float)
+        m = s.max(1)
+        out[far[i : i + rows]] = m + np.log(np.exp(s - m[:, None]).sum(1))
+    return out
 
 
-def log_probabilities(p: Parameters, w: np.ndarray, ctx: np.ndarray, rows: int = 4096) -> np.ndarray:
+def log_probabilities(p: Parameters, w: np.ndarray, ctx: np.ndarray) -> np.ndarray:
     """Normalised, one for each token."""
     if not len(w):
         return np.empty(0)
@@ -303,25 +367,46 @@ def log_probabilities(p: Parameters, w: np.ndarray, ctx: np.ndarray, rows: int =
     which[order] = np.cumsum(head) - 1
     one = ctx[:, order[head]]
     pred = sum(p.c[k] * p.r[one[k]] for k in range(CONTEXT))
-    log_z = np.empty(len(pred))
-    for i in range(0, len(pred), rows):
-        log_z[i : i + rows] = _log_sums(pred[i : i + rows] @ p.u.T + p.v)
     unit = layout.unit(w)
-    out = np.einsum("ij,ij->i", pred[which], p.u[unit]).astype(float) + p.v[unit] - log_z[which]
+    out = np.einsum("ij,ij->i", pred[which], p.u[unit]).astype(float) + p.v[unit] - _log_sums(pred, p.u, p.v)[which]
     tail = np.flatnonzero(w >= layout.single)
-    tail = tail[np.argsort(unit[tail], kind="stable")]
-    cut = np.flatnonzero(np.concatenate([[True], unit[tail][1:] != unit[tail][:-1]])) if len(tail) else []
-    for i, j in zip(cut, [*cut[1:], len(tail)]):
-        lo = layout.single + (int(unit[tail[i]]) - layout.single) * layout.size
-        q, b = np.ascontiguousarray(p.q[lo : min(lo + layout.size, layout.n)].T), p.b[lo : min(lo + layout.size, layout.n)]
-        for k in range(i, j, rows):
-            at = tail[k : min(k + rows, j)]
-            s = pred[which[at]] @ q + b
-            own = s[np.arange(len(at)), w[at] - lo].astype(float)
-            out[at] += own - _log_sums(s)
+    if len(tail):
+        tail = tail[np.argsort(w[tail], kind="stable")]
+        some, t = pred[which[tail]], w[tail]
+        c = layout.of_class(t)
+        for q, lo, hi, k, key in ((t, layout.single, layout.n, layout.size, c), (layout.n + 1 + c, layout.n + 1, layout.n + 1 + layout.classes, layout.per, c // layout.per)):
+            out[tail] += np.einsum("ij,ij->i", some, p.q[q]).astype(float) + p.b[q] - _class_log_sums(some, key, p.q[lo:hi], p.b[lo:hi], k)
     return out
 
 
+PIECE = 8
+
+
+def _class_log_sums(pred: np.ndarray, key: np.ndarray, q: np.ndarray, b: np.ndarray, size: int, at_once: int = 512) -> np.ndarray:
+    """log(sum(exp(pred q' + b))) over the class `key` of each row of pred, classes being each `size` rows of q; key ascends."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    many = np.diff(np.concatenate([first, [len(key)]]))
+    pieces = -(-many // PIECE)
+    start = np.repeat((np.cumsum(pieces) - pieces) * PIECE - first, many) + np.arange(len(key))
+    padded = np.zeros((int(pieces.sum()) * PIECE, pred.shape[1]), np.float32)
+    padded[start] = pred
+    padded = padded.reshape(-1, PIECE, pred.shape[1])
+    of = np.repeat(key[first], pieces)
+    out = np.empty((len(of), PIECE))
+    inner = np.arange(size)
+    for i in range(0, len(of), at_once):
+        rows = of[i : i + at_once, None] * size + inner
+        none = rows >= len(b)
+        rows = np.minimum(rows, len(b) - 1)
+        s = padded[i : i + at_once] @ q[rows].transpose(0, 2, 1)
+        s += np.where(none, np.float32(-1e30), b[rows])[:, None, :]
+        m = s.max(2)
+        s -= m[:, :, None]
+        np.exp(s, out=s)
+        out[i : i + at_once] = m + np.log(s.sum(2))
+    return out.reshape(-1)[start]
+
+
 def score(docs: DataFrame, vocabulary: Vocabulary, p: Parameters) -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity) of every row."""
     layout, shared, own = p.layout, p.shared, p.own

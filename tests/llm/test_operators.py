@@ -107,7 +107,7 @@ def test_lm_scoring_tells_words_apart_and_grows(spark):
     rows += [(1000, " ".join(f"rare{k}" for k in range(300))), (1001, "k5 " * 300)]
     docs = documents(spark, rows)
     vocabulary, p = lm_scoring.train(docs)
-    assert len(vocabulary.share) > 2000 and len(p.own) == len(vocabulary.share) + 1
+    assert len(vocabulary.share) > 2000 and len(p.own) == len(vocabulary.share) + 1 + p.layout.classes
     n = p.layout.n
     w = np.arange(n)
     ctx = np.full((lm_scoring.CONTEXT, n), 7)
