@@ -7,8 +7,10 @@ The kernels work on the UTF-8 bytes of a whole slice of rows at once; a slice ho
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -82,6 +84,8 @@ class Tables:
 
     def release(self) -> None:
         """Shuffle files stay on the executors' disks until the driver collects its garbage; after a large step, now."""
+        gc.collect()
+        time.sleep(0.5)  # until the JVM has let go of what Python has
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *tables: DataFrame) -> None:

@@ -125,11 +125,11 @@ def bucket_components(rows: DataFrame, marked: DataFrame, threshold: float, prep
     enough = least_agreeing(threshold)
     shared = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
     rows = tables.write(rows.join(shared, "band"))
-    tables.release()
     all_rows, rows = rows, tables.write(rows.join(marked.select("id", "m1", "m2").hint("merge"), "id"))
     tables.drop(all_rows)
-    known = prepare(rows.select("id").distinct())
+    del shared, all_rows
     tables.release()
+    known = prepare(rows.select("id").distinct())
     least = rows.groupBy("band").agg(F.min("id").alias("least"))
     head = rows.join(least, "band").where("id = least").select("band", F.col("id").alias("a"), F.col("m1").alias("xm1"), F.col("m2").alias("xm2"))
     rest = rows.select("band", F.col("id").alias("b"), F.col("m1").alias("ym1"), F.col("m2").alias("ym2"))

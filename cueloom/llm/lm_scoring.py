@@ -14,7 +14,7 @@ It is trained in numpy by noise-contrastive estimation: against NOISE samples of
 batch, without normalising; the tokens that are in classes, and their classes, once more against samples of such. Every partition
 of the corpus trains on all its tokens, from the same start (the unigram model), and the parameters are averaged with
 the partitions' tokens as weights, a token's own vectors with its occurrences. Scoring normalises the softmaxes by
-batched matrix products, the first once for each distinct context of a slice.
+batched matrix products.
 
 Cases: a null or empty text has 0 tokens, log-probability 0 and no perplexity; every row gets a row, repeated ones
 too, and ids may be null; words of equal count go by their hash where the order of tokens must be settled; very long
@@ -101,12 +101,27 @@ class Vocabulary:
         few = n < OWN
         self.token[few] = place[np.searchsorted(counts, n[few])]
 
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Where each word is in self.h, or would be: from the first of its bucket on, of which each holds about one."""
+        if not hasattr(self, "start"):
+            bits = max(1, len(self.h).bit_length())
+            self.shift = C.U64(64 - bits)
+            self.start = np.searchsorted(self.h >> self.shift, np.arange(1 << bits, dtype=C.U64)).astype(np.int32)
+        at = self.start[(h >> self.shift).astype(np.int64)]
+        last = len(self.h) - 1
+        go = np.flatnonzero(self.h[np.minimum(at, last)] < h)
+        while len(go):
+            at[go] += 1
+            go = go[at[go] <= last]
+            go = go[self.h[at[go]] < h[go]]
+        return np.minimum(at, last)
+
     def of(self, col: pa.Array):
         """(token, row) of each word."""
         h, row, _, _ = C.words(*C.text_bytes(col))
         if not len(self.h):
             return np.full(len(h), self.rare, np.int64), row
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        at = self._find(h)
         return np.where(self.h[at] == h, self.token[at], self.rare).astype(np.int64), row
 
 
@@ -195,11 +210,21 @@ class Noise:
 def _contrast(pred, q, b, w, x, noise: Noise):
     """Of targets w against noise x: the gradients by pred, and (1 - sigmoid) of targets and sigmoid of noise."""
     qw, qx = q[w], q[x]
-    d = np.einsum("ij,ij->i", pred, qw) + b[w] - noise.log_of(w)
-    e = pred @ qx.T + (b[x] - noise.log_of(x))
-    up = 1 / (1 + np.exp(np.clip(d, -30, 30)))
-    down = 1 / (1 + np.exp(np.clip(-e, -30, 30)))
-    return up[:, None] * qw - down @ qx, up, down
+    up = np.einsum("ij,ij->i", pred, qw)
+    up += b[w] - noise.log_of(w)
+    np.clip(up, -30, 30, out=up)
+    np.exp(up, out=up)
+    up += 1
+    np.reciprocal(up, out=up)
+    down = pred @ -qx.T
+    down -= b[x] - noise.log_of(x)
+    np.clip(down, -30, 30, out=down)
+    np.exp(down, out=down)
+    down += 1
+    np.reciprocal(down, out=down)
+    qw *= up[:, None]
+    qw -= down @ qx
+    return qw, up, down
 
 
 class Trainer:
@@ -358,21 +383,13 @@ def log_probabilities(p: Parameters, w: np.ndarray, ctx: np.ndarray) -> np.ndarr
     if not len(w):
         return np.empty(0)
     layout = p.layout
-    key = ctx[0]
-    for k in range(1, CONTEXT):
-        key = key * (layout.n + 1) + ctx[k]
-    order = np.argsort(key, kind="stable")
-    head = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    which = np.empty(len(w), np.int64)
-    which[order] = np.cumsum(head) - 1
-    one = ctx[:, order[head]]
-    pred = sum(p.c[k] * p.r[one[k]] for k in range(CONTEXT))
+    pred = sum(p.c[k] * p.r[ctx[k]] for k in range(CONTEXT))
     unit = layout.unit(w)
-    out = np.einsum("ij,ij->i", pred[which], p.u[unit]).astype(float) + p.v[unit] - _log_sums(pred, p.u, p.v)[which]
+    out = np.einsum("ij,ij->i", pred, p.u[unit]).astype(float) + p.v[unit] - _log_sums(pred, p.u, p.v)
     tail = np.flatnonzero(w >= layout.single)
     if len(tail):
-        tail = tail[np.argsort(w[tail], kind="stable")]
-        some, t = pred[which[tail]], w[tail]
+        tail = tail[np.argsort(w[tail].astype(np.int32))]
+        some, t = pred[tail], w[tail]
         c = layout.of_class(t)
         for q, lo, hi, k, key in ((t, layout.single, layout.n, layout.size, c), (layout.n + 1 + c, layout.n + 1, layout.n + 1 + layout.classes, layout.per, c // layout.per)):
             out[tail] += np.einsum("ij,ij->i", some, p.q[q]).astype(float) + p.b[q] - _class_log_sums(some, key, p.q[lo:hi], p.b[lo:hi], k)

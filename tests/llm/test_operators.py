@@ -42,14 +42,6 @@ def test_near_dedup(spark):
     assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect() if r[0] is not None) == [1, 3, 5, 6, 7, 8]
 
 
-def test_line_jaccard_against_sets():
-    a, b = "the quick brown fox jumps over it", "the quick brown fox jumped over it"
-    grams = lambda s: {s[i : i + 10] for i in range(len(s) - 9)}
-    want = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
-    ids = np.array([1, 1]), np.array([2, 3])
-    assert line_dedup.jaccard(ids[0], pa.array([a, a]), ids[1], pa.array([b, a])) == pytest.approx([want, 1.0])
-
-
 def test_line_dedup(spark):
     line = "a line of some length that comes again and again"
     rows = [(1, f"{line}\nfirst own line of text"), (2, f"second own thing entirely\n{line.upper()}!"), (None, line), (4, None), (5, "")]
