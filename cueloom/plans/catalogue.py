@@ -75,7 +75,7 @@ def doc_words(spark, d) -> DataFrame:
 
 DW = r"""dw AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS word
   FROM (SELECT doc_id, list_filter(string_split_regex(lower(trim(nfc_normalize(text))), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents)),
-kw AS (SELECT word AS name FROM dw GROUP BY word ORDER BY count(*) DESC, word LIMIT 300)"""
+kw AS (SELECT word AS name FROM dw GROUP BY word HAVING count(*) >= 5)"""
 KNOWN = DW + """,
 kn AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, word FROM dw WHERE word IN (SELECT name FROM kw)),
 kn2 AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, lead(word, 1) OVER w AS w2, lead(word, 2) OVER w AS w3 FROM kn WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
@@ -83,8 +83,8 @@ win AS (SELECT * FROM kn2 WHERE n > 3 AND w3 IS NOT NULL)"""
 
 
 def word_list(words: DataFrame) -> DataFrame:
-    """The 300 most frequent words, a list of outcomes."""
-    return words.groupBy(F.col("word").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(300).select("name")
+    """The words that occur five times or more, a list of outcomes that grows with the corpus."""
+    return words.groupBy(F.col("word").alias("name")).agg(F.count("*").alias("n")).where("n >= 5").select("name")
 
 
 def known_lists(spark, d) -> DataFrame:
@@ -301,14 +301,35 @@ def cond_prob_rowsum(spark, d):
     return counts.cue_probabilities(cues, counts.row_sums(outs)).withColumn("p", R("p"))
 
 
-@query()
+# The weights of least norm in SQL: cues of each variable add up to 1 in every event, so that P is singular along the
+# differences z of such sums, and nowhere else here. P + sum(z z') isn't, and solves for the weights that have no part
+# along z; Gauss and Jordan's steps over a list of rows.
+def _equilibrium(extra_cues: str = "", extra_outcomes: str = "", z: str = "CASE WHEN a.cue LIKE 'o_o%' THEN 1 ELSE -1 END * CASE WHEN b.cue LIKE 'o_o%' THEN 1 ELSE -1 END") -> str:
+    return PQ + f""", ec AS (SELECT cue1, cue2, n FROM cc{extra_cues}), eo AS (SELECT cue, outcome, n FROM co{extra_outcomes}),
+et AS (SELECT cue1 AS cue, n AS total, row_number() OVER (ORDER BY cue1) AS k FROM ec WHERE cue1 = cue2),
+en AS (SELECT outcome, row_number() OVER (ORDER BY outcome) AS j FROM (SELECT DISTINCT outcome FROM oc)),
+em AS (SELECT a.k, list(coalesce(n, 0) / a.total + {z} ORDER BY b.k) AS l FROM et a CROSS JOIN et b LEFT JOIN ec ON cue1 = a.cue AND cue2 = b.cue GROUP BY a.k),
+eq AS (SELECT a.k, list(coalesce(n, 0) / a.total ORDER BY j) AS l FROM et a CROSS JOIN en LEFT JOIN eo ON eo.cue = a.cue AND eo.outcome = en.outcome GROUP BY a.k),
+gj AS (SELECT 1 AS s, list(list_concat(em.l, eq.l) ORDER BY k) AS r FROM em JOIN eq USING (k)
+  UNION ALL SELECT s + 1, list_transform(r, lambda x, i: CASE WHEN i = s THEN list_transform(x, lambda y: y / r[s][s]) ELSE list_transform(x, lambda y, j: y - x[s] * r[s][j] / r[s][s]) END) FROM gj WHERE s <= len(r)),
+ew AS (SELECT cue, outcome, r[k][(SELECT count(*) FROM et) + j] AS weight FROM gj, et, en WHERE s = (SELECT max(s) FROM gj))"""
+
+
+@query(f"WITH RECURSIVE {_equilibrium()} SELECT cue, outcome, round(weight, 6) AS weight FROM ew")
 def equilibrium_weights(spark, d):
-    return equilibrium.estimate_weights(order_events(spark, d))
+    return equilibrium.estimate_weights(order_events(spark, d)).withColumn("weight", R("weight"))
 
 
-@query()
+_ENVIRON = (
+    " UNION ALL SELECT 'Environ', cue, total FROM t UNION ALL SELECT cue, 'Environ', total FROM t UNION ALL SELECT 'Environ', 'Environ', count(*) FROM oc",
+    " UNION ALL SELECT 'Environ', outcome, count(*) FROM oc GROUP BY outcome",
+    " + ".join(f"CASE WHEN a.cue LIKE '{v}' THEN 1 WHEN a.cue = 'Environ' THEN -1 ELSE 0 END * CASE WHEN b.cue LIKE '{v}' THEN 1 WHEN b.cue = 'Environ' THEN -1 ELSE 0 END" for v in ("o_o%", "c_m%")),
+)
+
+
+@query(f"WITH RECURSIVE {_equilibrium(*_ENVIRON)} SELECT cue, outcome, round(weight, 6) AS weight FROM ew")
 def equilibrium_background(spark, d):
-    return equilibrium.estimate_weights(order_events(spark, d), add_background=True)
+    return equilibrium.estimate_weights(order_events(spark, d), add_background=True).withColumn("weight", R("weight"))
 
 
 @query(f"WITH {OC} SELECT DISTINCT outcome, CAST(0.0 AS DOUBLE) AS gap FROM oc")
@@ -442,47 +463,74 @@ def frequency_expand(spark, d):
 
 
 # ---------------------------------------------------------------- iterative learning
-@query()
+def _replay(alpha: str = "0.1", beta: str = "0.1", times: int = 1, until: str = "true") -> str:
+    """st(outcome, w): each outcome's weights, a list by cu.k, after the events `until`; a fold over the list of events."""
+    v = f"(x.m - ({times} * s.w[x.k] + s.w[ka]))"
+    return f"""pv AS (SELECT event_id, 'prev_' || coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'none') AS cue, event_type AS outcome FROM events),
+cu AS (SELECT cue, first, row_number() OVER (ORDER BY cue) AS k FROM (SELECT cue, min(event_id) AS first FROM pv GROUP BY cue UNION ALL SELECT 'any', min(event_id) FROM pv)),
+al AS (SELECT list(CAST({alpha} AS DOUBLE) ORDER BY k) AS a, max(CASE WHEN cue = 'any' THEN k END) AS ka FROM cu),
+seq AS (SELECT o.outcome, CAST({beta} AS DOUBLE) AS b, list({{'w': CAST(NULL AS DOUBLE[]), 'k': k, 'm': CASE WHEN pv.outcome = o.outcome THEN CAST(1 AS DOUBLE) ELSE 0 END}} ORDER BY event_id) AS e
+  FROM pv JOIN cu USING (cue), (SELECT DISTINCT outcome FROM pv) o WHERE {until} GROUP BY o.outcome),
+st AS (SELECT outcome, list_reduce(e, lambda s, x: {{'w': list_transform(s.w, lambda y, j: CASE WHEN j = x.k THEN y + {times} * a[j] * (b * {v}) WHEN j = ka THEN y + a[j] * (b * {v}) ELSE y END), 'k': x.k, 'm': x.m}},
+  {{'w': list_transform(a, lambda y: CAST(0 AS DOUBLE)), 'k': CAST(0 AS BIGINT), 'm': CAST(0 AS DOUBLE)}}).w AS w FROM seq, al)"""
+
+
+_WEIGHTS = "SELECT cue, outcome, round(w[k], 9) AS weight FROM st, cu"
+#: sq(i, outcome, w): the same after every event; a recursion, as a fold keeps its end only.
+_STEPS = _replay() + """,
+ev AS (SELECT event_id + 1 AS i, k, outcome FROM pv JOIN cu USING (cue)),
+sq AS (SELECT CAST(0 AS BIGINT) AS i, outcome, list_transform(a, lambda y: CAST(0 AS DOUBLE)) AS w FROM (SELECT DISTINCT outcome FROM pv), al
+  UNION ALL SELECT ev.i, sq.outcome, list_transform(w, lambda y, j: CASE WHEN j = ev.k OR j = ka THEN y + 0.1::DOUBLE * (0.1::DOUBLE * ((CASE WHEN ev.outcome = sq.outcome THEN 1 ELSE 0 END) - (w[ev.k] + w[ka]))) ELSE y END) FROM sq JOIN ev ON ev.i = sq.i + 1, al)"""
+
+
+@query(f"WITH {_replay()} {_WEIGHTS}")
 def rw_weights(spark, d):
     return learn.learn_weights(user_events(spark, d), RATES).withColumn("weight", R("weight", 9))
 
 
-@query()
+@query(f"WITH {_replay(times=2)} {_WEIGHTS}")
 def rw_weights_duplicates(spark, d):
     e = user_events(spark, d).withColumn("cues", F.concat("cues", F.slice("cues", 1, 1)))
     return learn.learn_weights(e, RATES, unique=False).withColumn("weight", R("weight", 9))
 
 
-@query()
+@query(f"WITH {_replay('CASE cue WHEN {0}any{0} THEN 0.05 WHEN {0}prev_click{0} THEN 0.3 ELSE 0.1 END'.format(chr(39)), 'CASE o.outcome WHEN {0}view{0} THEN 0.2 ELSE 0.1 END'.format(chr(39)))} {_WEIGHTS}")
 def rw_alpha_beta(spark, d):
     a = spark.createDataFrame([("any", 0.05), ("prev_click", 0.3)], "cue string, value double")
     b = spark.createDataFrame([("view", 0.2)], "outcome string, value double")
     return learn.learn_weights(user_events(spark, d), Rates(alphas=a, betas=b)).withColumn("weight", R("weight", 9))
 
 
-@query()
+def _snapshot(count: str) -> str:
+    return f"SELECT CAST({count} AS BIGINT) AS event_count, cue, outcome, round(w[k], 9) AS weight FROM (WITH {_replay(until=f'event_id < {count}')} SELECT * FROM st, cu WHERE first < {count})"
+
+
+@query(" UNION ALL ".join(_snapshot(n) for n in ("100", "500", "(SELECT max(event_id) + 1 FROM events)")))
 def rw_snapshot(spark, d):
     return learn.learned(user_events(spark, d), RATES, snapshots=(0, 100, 500)).withColumn("weight", R("weight", 9))
 
 
-@query()
+@query(f"WITH {_replay()} {_WEIGHTS}")
 def rw_resume(spark, d):
     one = learn.Learner(user_events(spark, d), RATES)
     one.learn(400)
-    return one.learn().withColumn("weight", R("weight", 9))
+    again = learn.Learner.from_weights(one.events, one.weights, one.next_event, rates=RATES)
+    return again.learn().withColumn("weight", R("weight", 9))
 
 
-@query()
+@query(f"WITH RECURSIVE {_STEPS} SELECT i AS event_count, 'link' AS kind, cue AS a, outcome AS b, round(w[k], 9) AS value FROM sq, cu WHERE (cue, outcome) IN (('any', 'view'), ('prev_click', 'purchase'))")
 def rw_trace(spark, d):
     return learn.traced(user_events(spark, d), [("any", "view"), ("prev_click", "purchase")], when=When(every=1), rates=RATES).withColumn("value", R("value", 9))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_STEPS} SELECT x.i AS event_count, 'cosine' AS kind, 'view' AS a, 'click' AS b,
+CASE WHEN x.i = 0 THEN CAST('nan' AS DOUBLE) ELSE round(list_dot_product(x.w, y.w) / sqrt(list_dot_product(x.w, x.w) * list_dot_product(y.w, y.w)), 9) END AS value
+FROM sq x JOIN sq y USING (i) WHERE x.outcome = 'view' AND y.outcome = 'click' AND x.i % 10 = 0""")
 def rw_cosine_trace(spark, d):
     return learn.traced(user_events(spark, d), cosine=[("view", "click")], when=When(every=10), rates=RATES).withColumn("value", R("value", 9))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS event_count, 'euclid' AS kind, 'view' AS a, 'click' AS b, round(list_distance(x.w, y.w), 9) AS value FROM (WITH {_replay(until=f'event_id < {n}')} SELECT * FROM st) x, (WITH {_replay(until=f'event_id < {n}')} SELECT * FROM st) y WHERE x.outcome = 'view' AND y.outcome = 'click'" for n in (1, 10, 100, 1000)))
 def rw_euclid_trace(spark, d):
     return learn.traced(user_events(spark, d), euclid=[("view", "click")], when=When(at=(1, 10, 100, 1000)), rates=RATES).withColumn("value", R("value", 9))
 
@@ -492,9 +540,11 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return model.fit(FORMULA, order_table(spark, d)).predict("probs")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_equilibrium()}, ea AS (SELECT event_id, ew.outcome, sum(weight) AS activation FROM cu JOIN ew USING (cue) GROUP BY ALL),
+es AS (SELECT CASE WHEN abs(min(activation)) = 0 THEN 1e-10 ELSE abs(min(activation)) END AS s FROM ea)
+SELECT event_id, outcome, round((activation + s) / sum(activation + s) OVER (PARTITION BY event_id), 6) AS p FROM ea, es""")
 def classifier_probabilities(spark, d):
-    return flagship(spark, d)
+    return flagship(spark, d).withColumn("p", R("p"))
 
 
 @query()
