@@ -4,13 +4,17 @@ Every letter has a random vector of D entries +-1, derived from its code point.
 multiplying the vectors, each permuted (rotated) by its place; a text is the bundle (sum) of its runs, and a language
 the bundle of all its labelled documents. A text gets the language whose bundle is nearest by cosine.
 
-Everything but letters counts as one space. A text is rejected if it has no letters, or if it has at least ENOUGH runs
-and its best cosine is below LEAST; with fewer runs the cosine says too little to reject it.
+Everything but letters counts as one space. A text is rejected if it has no letters, or if its best cosine is below the
+least one for its length. These are measured on all labelled documents, by the binary logarithm of their number of
+runs: the lesser of what all but a few own cosines exceed (their mean less OWN standard deviations) and what cosines to
+other languages hardly reach (the mean of the next best one, and OTHER standard deviations). Lengths of which fewer than
+ENOUGH documents are labelled reject nothing but texts without letters.
 
 Cases: a null or empty text has no letters and is rejected (language "und", cosine null); null labels don't train;
 with no labelled document everything is rejected; equal cosines go to the language first by name; repeated rows get
-equal results, one each; an empty table gives an empty result; other columns stay as they are, and a column of the
-input that is named like one of the result only survives in the stage, which returns the input's columns.
+equal results, one each; very long texts are used whole; an empty table gives an empty result; other columns stay as
+they are, and a column of the input that is named like one of the result only survives in the stage, which returns the
+input's columns.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 D = 1024
-ENOUGH, LEAST = 30, 0.12
-ROWS = 256  # documents multiplied at once
+ENOUGH, OWN, OTHER = 100, 4.0, 2.0
+LENGTHS = 40
+ROWS, RUNS = 1024, 4096  # documents, and distinct runs, multiplied at once
+SLICE = 1 << 19
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -98,15 +104,18 @@ def runs(col: pa.Array):
 def _bundles(batches):
     """(lang, place, value): what this partition adds to each language's bundle."""
     total: dict[str, np.ndarray] = {}
-    for b in C.slices(batches):
+    for b in C.slices(batches, 1, SLICE):
         (row, at, count), triples = runs(b.column(1))
+        if not len(triples):
+            continue
         langs = b.column(0).to_pylist()
         names = sorted(set(langs))
-        of = np.array([names.index(x) for x in langs])
-        m = np.bincount(of[row] * len(triples) + at, count, len(names) * len(triples)).reshape(len(names), -1) if len(triples) else None
-        if m is not None:
-            for x, v in zip(names, np.rint(m @ run_vectors(triples).astype(np.float64)).astype(np.int64)):
-                total[x] = total[x] + v if x in total else v
+        place = {x: k for k, x in enumerate(names)}
+        of = np.array([place[x] for x in langs])
+        m = np.bincount(of[row] * len(triples) + at, count, len(names) * len(triples)).reshape(len(names), -1)
+        sums = sum(m[:, i : i + RUNS] @ run_vectors(triples[i : i + RUNS]).astype(np.float64) for i in range(0, len(triples), RUNS))
+        for x, v in zip(names, np.rint(sums).astype(np.int64)):
+            total[x] = total[x] + v if x in total else v
     for x, v in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([x] * D, pa.string()), pa.array(range(D), pa.int32()), pa.array(v)], ["lang", "place", "value"])
 
@@ -128,16 +137,19 @@ def scored(col: pa.Array, prototypes: np.ndarray):
     (row, at, count), triples = runs(col)
     if not len(row) or not len(prototypes):
         return best, cos, second, size
-    table = run_vectors(triples)
     edge = np.searchsorted(row, np.arange(0, n + ROWS, ROWS))
     for k in range(len(edge) - 1):
         lo, hi = edge[k], edge[k + 1]
         if lo == hi:
             continue
         r0, m = k * ROWS, min(ROWS, n - k * ROWS)
-        dense = np.zeros((m, len(triples)), np.float32)
-        dense[row[lo:hi] - r0, at[lo:hi]] = count[lo:hi]
-        v = dense @ table
+        used, place = np.unique(at[lo:hi], return_inverse=True)
+        v = np.zeros((m, D), np.float32)
+        for i in range(0, len(used), RUNS):
+            own = (place >= i) & (place < i + RUNS) if len(used) > RUNS else slice(None)
+            dense = np.zeros((m, min(RUNS, len(used) - i)), np.float32)
+            dense[row[lo:hi][own] - r0, place[own] - i] = count[lo:hi][own]
+            v += dense @ run_vectors(triples[used[i : i + RUNS]])
         norm = np.sqrt(np.einsum("ij,ij->i", v, v))
         some = norm > 0
         c = np.where(some[:, None], (v @ prototypes.T) / np.where(some, norm, 1)[:, None], np.nan)
@@ -146,11 +158,43 @@ def scored(col: pa.Array, prototypes: np.ndarray):
         best[r0 + got], cos[r0 + got] = b, c[got, b]
         if c.shape[1] > 1:
             second[r0 + got] = np.partition(c[got], -2, 1)[:, -2]
-        size[r0 : r0 + m] = dense.sum(1)
+        size[r0 : r0 + m] = np.bincount(row[lo:hi] - r0, count[lo:hi], m)
     return best, cos, second, size
 
 
-def _detector(prototypes: dict[str, np.ndarray]):
+def _length(size: np.ndarray) -> np.ndarray:
+    return np.minimum(np.frexp(np.maximum(size, 1).astype(float))[1] - 1, LENGTHS - 1)
+
+
+def least_cosines(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> np.ndarray:
+    """By length, the least cosine that is accepted. Six sums for each length come to the driver."""
+    names = list(prototypes)
+    if len(names) < 2:
+        return np.full(LENGTHS, -1.0)
+    p = np.array([prototypes[k] for k in names], np.float32)
+
+    def sums(batches):
+        total = np.zeros((LENGTHS, 5))
+        for b in C.slices(batches, 1, SLICE):
+            best, cos, second, size = scored(b.column(1), p)
+            right = np.array(names, object)[best] == np.array(b.column(0).to_pylist(), object)
+            own = np.flatnonzero(right & ~np.isnan(second))
+            for k, x in enumerate((np.ones(len(own)), cos[own], cos[own] ** 2, second[own], second[own] ** 2)):
+                total[:, k] += np.bincount(_length(size[own]), x, LENGTHS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(LENGTHS), pa.int32()), *(pa.array(total[:, k]) for k in range(5))], ["length", "n", "a", "aa", "b", "bb"])
+
+    rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
+    found = rows.mapInArrow(sums, "length int, n double, a double, aa double, b double, bb double").groupBy("length").agg(*(F.sum(c).alias(c) for c in ("n", "a", "aa", "b", "bb"))).collect()
+    out = np.full(LENGTHS, -1.0)
+    for r in found:
+        if r["n"] >= ENOUGH:
+            own, other = r["a"] / r["n"], r["b"] / r["n"]
+            far = [np.sqrt(max(x / r["n"] - m * m, 0)) for x, m in ((r["aa"], own), (r["bb"], other))]
+            out[r["length"]] = min(own - OWN * far[0], other + OTHER * far[1])
+    return out
+
+
+def _detector(prototypes: dict[str, np.ndarray], least: np.ndarray):
     names = list(prototypes)
     p = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), D)
     kind = "struct<language:string,cosine:double,margin:double,accepted:boolean>"
@@ -158,10 +202,10 @@ def _detector(prototypes: dict[str, np.ndarray]):
     @F.arrow_udf(kind)
     def detect(text: pa.Array) -> pa.Array:
         parts = []
-        for piece in C.slices([pa.RecordBatch.from_arrays([text], ["t"])], 0):
+        for piece in C.slices([pa.RecordBatch.from_arrays([text], ["t"])], 0, SLICE):
             best, cos, second, size = scored(piece.column(0), p)
             known = ~np.isnan(cos)
-            accepted = known & ((size < ENOUGH) | (cos >= LEAST))
+            accepted = known & (np.nan_to_num(cos, nan=-2.0) >= least[_length(size)])
             language = np.where(accepted, np.array([*names, "und"], object)[np.where(known, best, -1)], "und")
             parts.append(pa.StructArray.from_arrays([pa.array(language, pa.string()), pa.array(np.round(cos, 6), mask=~known), pa.array(np.round(cos - second, 6), mask=np.isnan(second)), pa.array(accepted)], ["language", "cosine", "margin", "accepted"]))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("language", pa.string()), ("cosine", pa.float64()), ("margin", pa.float64()), ("accepted", pa.bool_())]))
@@ -169,18 +213,19 @@ def _detector(prototypes: dict[str, np.ndarray]):
     return detect
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], least: np.ndarray) -> DataFrame:
     """(doc_id, language, cosine, margin, accepted) of every row."""
-    found = docs.select("doc_id", _detector(prototypes)("text").alias("r"))
+    found = docs.select("doc_id", _detector(prototypes, least)("text").alias("r"))
     return found.select("doc_id", "r.language", "r.cosine", "r.margin", "r.accepted")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows whose language is accepted; columns as they came."""
-    detect = _detector(train(docs))
-    return docs.where(detect("text").getField("accepted"))
+    prototypes = train(docs)
+    return docs.where(_detector(prototypes, least_cosines(docs, prototypes))("text").getField("accepted"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read(spark, sf_dir, "documents")
-    return identify(docs, train(docs))
+    prototypes = train(docs)
+    return identify(docs, prototypes, least_cosines(docs, prototypes))

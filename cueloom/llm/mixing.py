@@ -11,13 +11,16 @@ targets are its shares of tokens to the power TEMPER, which lifts small categori
 
 Cases: a null or empty text has no tokens and is never sampled; a null source or language is a category of its own;
 a target without documents is left out and the others scaled up, a category without a target gets 0; equal lifts go to
-the lower class; repeated rows are drawn alike; a row without doc_id is drawn by its text; an empty table gives an
-empty result; added columns replace columns of the same name in the operator, the stage returns the input's columns
-and mix_weight, the inverse of the probability.
+the lower class; very long texts are counted whole; repeated rows are drawn alike; a row without doc_id is drawn by its text; an empty table gives an
+empty result; the operator's columns topic, tokens and mix_weight take the place of such columns of the input (topic and
+tokens stay as _input_topic and _input_tokens), the stage returns the input's columns and mix_weight, the inverse of
+the probability, which takes the place of one of that name. After ROUNDS rounds raking ends with a warning.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,7 +92,8 @@ def rake(keys: np.ndarray, tokens: np.ndarray, targets: list[np.ndarray]) -> np.
             off = max(off, float(np.abs(goal - now).max(initial=0)))
             w = w * ratio[keys[:, m]]
         if off < ENOUGH:
-            break
+            return w
+    warnings.warn(f"raking hasn't settled in {ROUNDS} rounds: margins are off by {off:.2g}", stacklevel=2)
     return w
 
 
@@ -152,6 +156,8 @@ def _table_factors(cells: DataFrame, given: dict, tables: C.Tables) -> DataFrame
             w = nxt
         if off < ENOUGH:
             break
+    else:
+        warnings.warn(f"raking hasn't settled in {ROUNDS} rounds: margins are off by {off:.2g}", stacklevel=2)
     f = F.col("w") / F.col("tokens")
     lo, hi = 0.0, float(w.where("w > 0").agg(F.max(F.col("tokens") / F.col("w"))).first()[0] or 1.0)
     for _ in range(7):  # each time a 256th of the interval
@@ -176,19 +182,25 @@ def probabilities(counted: DataFrame, given: dict | None = None, local_cells: in
 def sample(docs: DataFrame, given: dict | None = None, local_cells: int = LOCAL_CELLS) -> DataFrame:
     """The sampled rows with their columns, topic, tokens and mix_weight (1 / probability). given: targets by margin."""
     text = _topic_of(class_totals(docs))
-    with_topic = docs.withColumn("_r", text).where("_r.tokens > 0")
-    counted = with_topic.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("_r.topic").alias("topic"), F.col("_r.tokens").alias("tokens"))
+    r, s, l, t, q = C.free_name(docs, "_r", "_s", "_l", "_t", "_p")
+    with_topic = docs.withColumn(r, text).where(F.col(f"{r}.tokens") > 0)
+    counted = with_topic.select(docs["source"].cast("string").alias("source"), docs["lang"].cast("string").alias("lang"), F.col(f"{r}.topic").alias("topic"), F.col(f"{r}.tokens").alias("tokens"))
     p = probabilities(counted, given, local_cells)
-    p = p.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("p").alias("_p"))
-    drawn = (F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), F.lit(SEED)).cast("double") / F.lit(2.0**64) + F.lit(0.5))
-    hit = with_topic.join(p, F.col("source").eqNullSafe(F.col("_s")) & F.col("lang").eqNullSafe(F.col("_l")) & (F.col("_r.topic") == F.col("_t"))).where(drawn < F.col("_p"))
-    own = [c for c in docs.columns if c not in ("topic", "tokens", "mix_weight")]
-    return hit.select(*own, F.col("_r.topic").alias("topic"), F.col("_r.tokens").alias("tokens"), (F.lit(1.0) / F.col("_p")).alias("mix_weight"))
+    p = p.select(F.col("source").alias(s), F.col("lang").alias(l), F.col("topic").alias(t), F.col("p").alias(q))
+    drawn = F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), docs["text"]), F.lit(SEED)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    hit = with_topic.join(p, docs["source"].cast("string").eqNullSafe(F.col(s)) & docs["lang"].cast("string").eqNullSafe(F.col(l)) & (F.col(f"{r}.topic") == F.col(t))).where(drawn < F.col(q))
+    own = [C.col(c) for c in docs.columns if c.lower() not in ("topic", "tokens", "mix_weight")]
+    return hit.select(*own, F.col(f"{r}.topic").alias("topic"), F.col(f"{r}.tokens").alias("tokens"), (F.lit(1.0) / F.col(q)).alias("mix_weight"), *(C.col(c).alias(f"{KEPT}{c}") for c in docs.columns if c.lower() in ("topic", "tokens")))
+
+
+#: What the stage finds columns by that the operator's have replaced.
+KEPT = "_input_"
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The stage: the input's columns and mix_weight."""
-    return sample(docs).select(*(c for c in docs.columns if c != "mix_weight"), "mix_weight")
+    replaced = ("topic", "tokens")
+    return sample(docs).select(*(C.col(KEPT + c).alias(c) if c.lower() in replaced else C.col(c) for c in docs.columns if c.lower() != "mix_weight"), "mix_weight")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

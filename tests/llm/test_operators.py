@@ -63,7 +63,8 @@ def test_raked_margins():
 
 def test_language_and_lm_on_odd_rows(spark):
     docs = documents(spark, [(1, "the cat and the dog are in the house " * 5), *ODD])
-    found = language_id.identify(docs, language_id.train(docs)).collect()
+    prototypes = language_id.train(docs)
+    found = language_id.identify(docs, prototypes, language_id.least_cosines(docs, prototypes)).collect()
     assert len(found) == 7 and {r["doc_id"]: r["language"] for r in found}[6] == "und"
     scored = lm_scoring.score(docs, *lm_scoring.train(docs)).collect()
     assert len(scored) == 7 and {r["doc_id"]: r["n_tokens"] for r in scored}[5] == 0
