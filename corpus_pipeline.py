@@ -44,7 +44,7 @@ STAGES = [
     ("mixing", mixed_sources),
 ]
 
-#: SQL can't express the first stage's vectors, nor those after it; tests hold run() against plain Python.
+#: SQL can't express the first stage's vectors, nor the later ones' signatures; tests/llm hold each stage against brute force.
 ORACLE_SQL = None
 
 
