@@ -29,8 +29,8 @@ from . import common as C
 D = 1024
 ENOUGH, OWN, OTHER = 100, 4.0, 2.0
 LENGTHS = 40
-ROWS, RUNS = 1024, 4096  # documents, and distinct runs, multiplied at once
-SLICE = 1 << 19
+ROWS, RUNS = 512, 2048  # documents, and distinct runs, multiplied at once
+SLICE = 1 << 18
 _tables: dict[str, np.ndarray] = {}
 
 

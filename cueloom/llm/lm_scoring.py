@@ -39,6 +39,7 @@ NOISE, BATCH, RATE = 64, 2048, 0.15
 SEED = 4
 #: Tokens whose parameters are averaged together, and numbers of the shared parameters.
 BLOCK, SHARED = 256, 1 << 14
+SLICE = 1 << 20
 
 
 #: Words of a partition that are counted before their counts go on.
@@ -60,7 +61,7 @@ def _count(batches):
         h, n = _added(parts)
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    for b in C.slices(batches, 0):
+    for b in C.slices(batches, 0, SLICE):
         h = np.sort(C.words(*C.text_bytes(b.column(0)))[0])
         if not len(h):
             continue
@@ -302,7 +303,7 @@ _AVERAGED = "block int, n binary, data binary"
 def _train_with(vocabulary: Vocabulary):
     def train(batches):
         t = Trainer(vocabulary.share)
-        for b in C.slices(batches, 0):
+        for b in C.slices(batches, 0, SLICE):
             w, row = vocabulary.of(b.column(0))
             ctx = examples(w, row, len(vocabulary.share))
             for i in range(0, len(w), BATCH):
@@ -430,7 +431,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, p: Parameters) -> DataFrame:
 
     def scored(batches):
         p = Parameters(layout, shared, own)
-        for b in C.slices(batches):
+        for b in C.slices(batches, 1, SLICE):
             n = b.num_rows
             w, row = vocabulary.of(b.column(1))
             size = np.bincount(row, minlength=n)
