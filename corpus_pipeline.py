@@ -44,7 +44,8 @@ STAGES = [
     ("mixing", mixed_sources),
 ]
 
-#: SQL can't express the first stage's vectors, nor the later ones' signatures; tests/llm hold each stage against brute force.
+#: SQL can't express the first stage's vectors, nor the later ones' signatures; tests/llm hold the stages of line dedup,
+#: near dedup and decontamination against brute force, the other two and run() not yet.
 ORACLE_SQL = None
 
 
