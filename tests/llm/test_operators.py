@@ -156,3 +156,11 @@ def test_license_texts_are_whole():
     assert found(one) == found(one + end.replace("DISCLAIMED", "GRANTED")) == set()
     assert found("licensed under the GNU Lesser General Public License version 3") == {"LGPL-3.0"}
     assert found("licensed under a Creative Commons CC BY-SA 4.0 International License") == {"CC-BY-SA-4.0"}
+
+
+def test_scans_read_every_text_of_a_repeated_id(spark):
+    rows = [(4, 'api_key = "q8Zr2Lk9Tx4Vb7Nm"'), (4, "a = 1"), (9, "write to jo.doe@example.com"), (9, "or to 192.168.0.1"), (9, "or to 192.168.0.1"), (7, "licensed under the GNU Lesser General Public License version 3"), (7, "x " * 20000), *ODD]
+    docs = documents(spark, rows)
+    assert [r["doc_id"] for r in secrets.scan(docs).collect()] == [4]
+    assert sorted((r["doc_id"], r["kind"]) for r in pii.scan(docs).collect()) == [(9, "EMAIL"), (9, "IP")]
+    assert [tuple(r) for r in licenses.scan(docs).collect()] == [(7, "LGPL-3.0", 1)]
