@@ -189,9 +189,23 @@ def examples(token: np.ndarray, row: np.ndarray, start: int = 0) -> np.ndarray:
     return out
 
 
-def _scatter(at: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
+def _scatter(at: np.ndarray, g: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Adds the rows g to the rows `at`, which may repeat, of out (contiguous)."""
     k = g.shape[1]
-    return np.bincount((at[:, None] * k + np.arange(k)).ravel(), g.ravel(), n * k).reshape(n, k).astype(np.float32)
+    np.add.at(out.reshape(-1), (at[:, None] * k + np.arange(k)).reshape(-1), g.reshape(-1))
+    return out
+
+
+def _distinct(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each token once, ascending, and where each of `at` is in that. A batch's tokens and their places fit in 64 bits."""
+    bits = len(at).bit_length()
+    s = np.sort((at << bits) | np.arange(len(at)))
+    at, place = s >> bits, s & ((1 << bits) - 1)
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    inverse = np.empty(len(at), np.int64)
+    inverse[place] = np.cumsum(new) - 1
+    return at[new], inverse
 
 
 class Noise:
@@ -208,93 +222,100 @@ class Noise:
         return self.log[w - self.first]
 
 
-def _contrast(pred, q, b, w, x, noise: Noise):
-    """Of targets w against noise x: the gradients by pred, and (1 - sigmoid) of targets and sigmoid of noise."""
-    qw, qx = q[w], q[x]
-    up = np.einsum("ij,ij->i", pred, qw)
-    up += b[w] - noise.log_of(w)
-    np.clip(up, -30, 30, out=up)
-    np.exp(up, out=up)
-    up += 1
-    np.reciprocal(up, out=up)
-    down = pred @ -qx.T
-    down -= b[x] - noise.log_of(x)
-    np.clip(down, -30, 30, out=down)
-    np.exp(down, out=down)
-    down += 1
-    np.reciprocal(down, out=down)
-    qw *= up[:, None]
-    qw -= down @ qx
-    return qw, up, down
+def _contrast(pred, target, log_target, noise, log_noise):
+    """Of the targets' rows (vector, bias), one for each row of pred, against rows of noise; pred ends with a 1. Returns
+    what goes to pred (without the 1), to the targets as factors of pred, and to the noise."""
+    up = np.einsum("ij,ij->i", pred, target)
+    up -= log_target
+    less = -noise
+    less[:, D] += log_noise
+    down = pred @ less.T
+    with np.errstate(over="ignore"):  # 1 / (1 + inf) is the 0 that is meant
+        for x in (up, down):
+            np.exp(x, out=x)
+            x += 1
+            np.reciprocal(x, out=x)
+    to_pred = target[:, :D] * up[:, None]
+    to_pred -= down @ noise[:, :D]
+    return to_pred, up[:, None], -(down.T @ pred)
+
+
+def _ada(rows: np.ndarray, g: np.ndarray, n: int) -> None:
+    """A step of AdaGrad for rows that hold values and then their sums of squares; its size doesn't depend on the batch's."""
+    k = g.shape[1]
+    g *= np.float32(32 / n)
+    square = rows[:, k:]
+    square += g * g
+    g *= np.float32(RATE)
+    g /= np.sqrt(square)
+    rows[:, :k] += g
 
 
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad."""
+    """Noise-contrastive estimation with AdaGrad. Rows of units (u, v), of tokens as context (r) and of tokens and
+    classes as targets (q, b) each have their sums of squares beside them. A step touches only the rows of its batch."""
 
     def __init__(self, share: np.ndarray):
-        self.p = Parameters.start(share)
-        self.layout = self.p.layout
-        self.square = Parameters.full(self.layout, 1.0)
+        p = Parameters.start(share)
+        self.layout, units = p.layout, p.layout.units
+        self.units, self.context, self.target = (np.ones((rows, 2 * k), np.float32) for rows, k in ((units, D + 1), (len(p.own), D), (len(p.own), D + 1)))
+        self.units[:, :D], self.units[:, D], self.c = p.u, p.v, np.concatenate([p.c, np.ones_like(p.c)], 1)
+        self.context[:, :D], self.target[:, : D + 1] = p.r, p.own[:, D:]
         self.noise = Noise(unit_share(self.layout, share))
         if self.layout.classes:
             self.inner = Noise(share[self.layout.single :], self.layout.single), Noise(class_share(self.layout, share), self.layout.n + 1)
         self.rng = np.random.default_rng(SEED + 1)
-        self.n, self.seen = 0, np.zeros(len(self.p.own), np.int64)
-
-    def _rows(self, kind: slice, at: np.ndarray, g: np.ndarray, n: int) -> None:
-        """A step for some columns of the tokens `at`, which may repeat."""
-        which, at = np.unique(at, return_inverse=True)
-        f = _scatter(at, g, len(which)) * np.float32(32 / n)
-        square = self.square.own[which, kind] + f * f
-        self.square.own[which, kind] = square
-        self.p.own[which, kind] += np.float32(RATE) * f / np.sqrt(square)
+        self.n, self.seen = 0, np.zeros(len(p.own), np.int64)
 
     def step(self, w: np.ndarray, ctx: np.ndarray) -> None:
-        p, n = self.p, len(w)
+        n, layout = len(w), self.layout
         x = self.noise.draw(self.rng)
-        rows = [p.r[c] for c in ctx]
-        pred = sum(p.c[k] * rows[k] for k in range(CONTEXT))
-        unit = self.layout.unit(w)
-        dpred, up, down = _contrast(pred, p.u, p.v, unit, x, self.noise)
-        g = np.zeros_like(p.shared)
-        units = self.layout.units
-        gu, gv, gc = g[: units * D].reshape(units, D), g[units * D : units * (D + 1)], g[units * (D + 1) :].reshape(CONTEXT, D)
-        gu[:] = _scatter(unit, up[:, None] * pred, units)
-        np.subtract.at(gu, x, down.T @ pred)
-        gv[:] = np.bincount(unit, up, units)
-        np.subtract.at(gv, x, down.sum(0))
-        tail = np.flatnonzero(w >= self.layout.single)
+        which, at = _distinct(ctx.reshape(-1))
+        context = self.context.take(which, 0)
+        rows = np.ascontiguousarray(context[:, :D]).take(at, 0).reshape(CONTEXT, n, D)
+        pred = np.ones((n, D + 1), np.float32)
+        pred[:, :D] = sum(self.c[k, :D] * rows[k] for k in range(CONTEXT))
+        unit = layout.unit(w)
+        values = np.ascontiguousarray(self.units[:, : D + 1])
+        dpred, up, to_noise = _contrast(pred, values.take(unit, 0), self.noise.log_of(unit), values.take(x, 0), self.noise.log_of(x))
+        _ada(self.units, _scatter(x, to_noise, _scatter(unit, up * pred, np.zeros_like(values))), n)
+        tail = np.flatnonzero(w >= layout.single)
         if len(tail):
-            some, rows_of, bias_of, at = pred[tail], [], [], []
-            for t, noise in zip((w[tail], self.layout.n + 1 + self.layout.of_class(w[tail])), self.inner):
-                y = noise.draw(self.rng)
-                d, up, down = _contrast(some, p.q, p.b, t, y, noise)
+            some, m, t = pred.take(tail, 0), len(tail), w[tail]
+            parts = [p for targets, noise in zip((t, layout.n + 1 + layout.of_class(t)), self.inner) for p in (targets, noise.draw(self.rng))]
+            of, place = _distinct(np.concatenate(parts))
+            target = self.target.take(of, 0)
+            values = np.ascontiguousarray(target[:, : D + 1])
+            g, i = np.zeros_like(values), 0
+            for targets, y, noise in zip(parts[::2], parts[1::2], self.inner):
+                a, b = place[i : i + m], place[i + m : i + m + NOISE]
+                d, up, to_noise = _contrast(some, values.take(a, 0), noise.log_of(targets), values.take(b, 0), noise.log_of(y))
                 dpred[tail] += d
-                at += [t, y]
-                rows_of += [up[:, None] * some, -(down.T @ some)]
-                bias_of += [up, -down.sum(0)]
-            self._rows(slice(D, 2 * D + 1), np.concatenate(at), np.concatenate([np.concatenate(rows_of), np.concatenate(bias_of)[:, None]], 1), n)
-            self.seen += np.bincount(at[2], minlength=len(self.seen))
-        for k in range(CONTEXT):
-            gc[k] = (dpred * rows[k]).sum(0)
-        self._rows(slice(0, D), ctx.ravel(), np.concatenate([dpred * p.c[k] for k in range(CONTEXT)]), n)
-        f = g * np.float32(32 / n)  # a step's size doesn't depend on the batch's
-        self.square.shared += f * f
-        p.shared += np.float32(RATE) * f / np.sqrt(self.square.shared)
+                _scatter(b, to_noise, _scatter(a, up * some, g))
+                i += m + NOISE
+            _ada(target, g, n)
+            self.target[of] = target
+            np.add.at(self.seen, parts[2], 1)
+        gc = np.stack([np.einsum("ij,ij->j", dpred, rows[k]) for k in range(CONTEXT)])
+        np.multiply(dpred, self.c[:, None, :D], out=rows)
+        _ada(context, _scatter(at, rows.reshape(-1, D), np.zeros((len(which), D), np.float32)), n)
+        self.context[which] = context
+        _ada(self.c, gc, n)
         self.n += n
-        self.seen += np.bincount(w, minlength=len(self.seen))
-        self.seen[self.layout.n] += np.count_nonzero(ctx == self.layout.n)
+        np.add.at(self.seen, w, 1)
+        self.seen[layout.n] += np.count_nonzero(ctx == layout.n)
 
     def blocks(self, start: Parameters):
         """(block, n, data): how far the parameters went from the start, and the weights. Shared ones have blocks under 0."""
-        far = self.p.shared - start.shared
+        far = np.concatenate([self.units[:, :D].ravel(), self.units[:, D], self.c[:, :D].ravel()]) - start.shared
         for i in range(0, len(far), SHARED):
             yield -1 - i // SHARED, np.array([self.n]), far[i : i + SHARED].astype(np.float32)
         for i in range(0, len(self.seen), BLOCK):
             n = self.seen[i : i + BLOCK]
             if n.any():
                 at = np.flatnonzero(n)
-                yield i // BLOCK, np.stack([at, n[at]]), (self.p.own[i + at] - start.own[i + at]).astype(np.float16)
+                own = np.concatenate([self.context[i + at, :D], self.target[i + at, : D + 1]], 1)
+                yield i // BLOCK, np.stack([at, n[at]]), (own - start.own[i + at]).astype(np.float16)
 
 
 _AVERAGED = "block int, n binary, data binary"
@@ -356,72 +377,111 @@ def train(docs: DataFrame) -> tuple[Vocabulary, Parameters]:
     return vocabulary, p
 
 
-def _log_sums(pred: np.ndarray, u: np.ndarray, v: np.ndarray, rows: int = 256) -> np.ndarray:
-    """log(sum(exp(pred u' + v))) of each row of pred. The product is taken less a bound of it, so that it can be used at
-    once; where that bound is so far off that nothing is left, less its largest entry."""
-    out = np.empty(len(pred))
-    one = np.ones(len(u), np.float32)
-    wide = np.ascontiguousarray(np.concatenate([u, v[:, None], one[:, None]], 1).T)
-    longest, most = float(np.sqrt(np.einsum("ij,ij->i", u, u).max(initial=0))), float(v.max(initial=-1e30))
-    bound = np.sqrt(np.einsum("ij,ij->i", pred, pred)) * np.float32(longest) + np.float32(most)
-    left = np.concatenate([pred, np.ones((len(pred), 1), np.float32), -bound[:, None]], 1).astype(np.float32)
-    for i in range(0, len(pred), rows):
-        s = left[i : i + rows] @ wide
+def _log_sum(x: np.ndarray, y: np.ndarray, none: np.ndarray | None = None) -> np.ndarray:
+    """log(sum(exp(x y))) over the last axis, scores named by none left out. Most scores can be used by exp() as they are;
+    where their sum shows that some left float32, or that all nearly did, it is made anew less the largest one."""
+    s = x @ y
+    if none is not None:
+        s += none
+    with np.errstate(over="ignore"):
         np.exp(s, out=s)
-        out[i : i + rows] = s @ one
-    far = np.flatnonzero(out < 1e-20)
-    with np.errstate(divide="ignore"):
-        out = np.log(out) + bound
-    for i in range(0, len(far), rows):
-        s = (pred[far[i : i + rows]] @ u.T + v).astype(float)
-        m = s.max(1)
-        out[far[i : i + rows]] = m + np.log(np.exp(s - m[:, None]).sum(1))
+        total = s @ np.ones(s.shape[-1], np.float32)
+    if total.min() > 1e-20 and total.max() < 1e30:
+        return np.log(total)
+    s = (x @ y).astype(float)
+    if none is not None:
+        s += none
+    m = s.max(-1)
+    return m + np.log(np.exp(s - m[..., None]).sum(-1))
+
+
+def _log_sums(pred: np.ndarray, rows: np.ndarray, at_once: int = 256) -> np.ndarray:
+    """log(sum(exp(pred rows'))) of each row of pred; both have the bias in their last column."""
+    out = np.empty(len(pred))
+    wide = np.ascontiguousarray(rows.T)
+    for i in range(0, len(pred), at_once):
+        out[i : i + at_once] = _log_sum(pred[i : i + at_once], wide)
     return out
 
 
+def _contexts(ctx: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """One example of each different context, and the context of each example, by number."""
+    first, inverse = np.arange(ctx.shape[1]), np.zeros(ctx.shape[1], np.int64)
+    for c in ctx:
+        key = inverse * (n + 1) + c
+        order = np.argsort(key)
+        new = np.ones(len(key), bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        first = order[new]
+        inverse = np.empty(len(key), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+    return first, inverse
+
+
 def log_probabilities(p: Parameters, w: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-    """Normalised, one for each token."""
+    """Normalised, one for each token. What a softmax adds up to is found once for each different context."""
     if not len(w):
         return np.empty(0)
     layout = p.layout
-    pred = sum(p.c[k] * p.r[ctx[k]] for k in range(CONTEXT))
+    first, context = _contexts(ctx, layout.n)
+    pred = np.ones((len(first), D + 1), np.float32)
+    pred[:, :D] = sum(p.c[k] * p.r[ctx[k][first]] for k in range(CONTEXT))
+    units = np.concatenate([p.u, p.v[:, None]], 1)
+    norm = _log_sums(pred, units)
+    out = np.empty(len(w))
     unit = layout.unit(w)
-    out = np.einsum("ij,ij->i", pred, p.u[unit]).astype(float) + p.v[unit] - _log_sums(pred, p.u, p.v)
+    for i in range(0, len(w), 8192):
+        j = slice(i, i + 8192)
+        out[j] = np.einsum("ij,ij->i", pred.take(context[j], 0), units.take(unit[j], 0)) - norm[context[j]]
     tail = np.flatnonzero(w >= layout.single)
     if len(tail):
-        tail = tail[np.argsort(w[tail].astype(np.int32))]
-        some, t = pred[tail], w[tail]
-        c = layout.of_class(t)
-        for q, lo, hi, k, key in ((t, layout.single, layout.n, layout.size, c), (layout.n + 1 + c, layout.n + 1, layout.n + 1 + layout.classes, layout.per, c // layout.per)):
-            out[tail] += np.einsum("ij,ij->i", some, p.q[q]).astype(float) + p.b[q] - _class_log_sums(some, key, p.q[lo:hi], p.b[lo:hi], k)
+        key = layout.of_class(w[tail]) * len(first) + context[tail]
+        order = np.argsort(key)
+        tail, key = tail[order], key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        which = np.cumsum(new) - 1
+        t, once, c = w[tail], context[tail[new]], key[new] // len(first)
+        some, rows = pred.take(once, 0), p.own[:, D:]
+        norm = _class_log_sums(some, c, rows[layout.single : layout.n], layout.size)
+        norm += _class_log_sums(some, c // layout.per, rows[layout.n + 1 :], layout.per)
+        own = np.empty(len(t))
+        for i in range(0, len(t), 8192):
+            j = slice(i, i + 8192)
+            x = rows[t[j]]
+            x += rows[layout.n + 1 + c[which[j]]]
+            own[j] = np.einsum("ij,ij->i", some.take(which[j], 0), x)
+        out[tail] += own - norm[which]
     return out
 
 
-PIECE = 8
+#: Rows of pred that share a copy of their class at least and at most, and numbers that are handled at once.
+PIECE, PIECES, AT_ONCE = 8, 128, 1 << 17
 
 
-def _class_log_sums(pred: np.ndarray, key: np.ndarray, q: np.ndarray, b: np.ndarray, size: int, at_once: int = 512) -> np.ndarray:
-    """log(sum(exp(pred q' + b))) over the class `key` of each row of pred, classes being each `size` rows of q; key ascends."""
+def _class_log_sums(pred: np.ndarray, key: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """log(sum(exp(pred rows'))) over the class `key` of each row of pred, classes being each `size` rows; key ascends."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     many = np.diff(np.concatenate([first, [len(key)]]))
-    pieces = -(-many // PIECE)
-    start = np.repeat((np.cumsum(pieces) - pieces) * PIECE - first, many) + np.arange(len(key))
-    padded = np.zeros((int(pieces.sum()) * PIECE, pred.shape[1]), np.float32)
+    piece = PIECE
+    while piece < PIECES and 3 * piece * len(first) < 2 * len(key):
+        piece *= 2
+    pieces = -(-many // piece)
+    start = np.repeat((np.cumsum(pieces) - pieces) * piece - first, many) + np.arange(len(key))
+    padded = np.zeros((int(pieces.sum()) * piece, D + 1), np.float32)
     padded[start] = pred
-    padded = padded.reshape(-1, PIECE, pred.shape[1])
+    padded = padded.reshape(-1, piece, D + 1)
     of = np.repeat(key[first], pieces)
-    out = np.empty((len(of), PIECE))
+    out = np.empty((len(of), piece))
     inner = np.arange(size)
+    at_once = max(1, AT_ONCE // (size * max(piece, D + 1)))
     for i in range(0, len(of), at_once):
-        rows = of[i : i + at_once, None] * size + inner
-        none = rows >= len(b)
-        rows = np.minimum(rows, len(b) - 1)
-        s = padded[i : i + at_once] @ q[rows].transpose(0, 2, 1)
-        s += np.where(none, np.float32(-1e30), b[rows])[:, None, :]
-        m = s.max(2)
-        s -= m[:, :, None]
-        np.exp(s, out=s)
-        out[i : i + at_once] = m + np.log(s.sum(2))
+        at = of[i : i + at_once, None] * size + inner
+        none = None
+        if at[-1, -1] >= len(rows):  # the last class may have fewer
+            none = np.where(at >= len(rows), np.float32(-1e30), np.float32(0))[:, None, :]
+            at = np.minimum(at, len(rows) - 1)
+        out[i : i + at_once] = _log_sum(padded[i : i + at_once], rows[at].transpose(0, 2, 1), none)
     return out.reshape(-1)[start]
 
 

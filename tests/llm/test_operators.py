@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -112,6 +114,51 @@ def test_lm_scoring_tells_words_apart_and_grows(spark):
     assert lm_scoring.score(new, vocabulary, p).where("doc_id = 1").first()["perplexity"] > 300
 
 
+def test_a_training_step_takes_no_more_room_for_a_larger_vocabulary():
+    peaks = []
+    for n in (50_000, 500_000):
+        t = lm_scoring.Trainer(np.full(n, 1 / n))
+        rng = np.random.default_rng(4)
+        w, ctx = rng.integers(0, n, 2048), rng.integers(0, n, (lm_scoring.CONTEXT, 2048))
+        t.step(w, ctx)
+        tracemalloc.start()
+        t.step(w, ctx)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert t.seen[:n].sum() == 2 * len(w)
+    assert peaks[1] < peaks[0] + (1 << 19)
+
+
+@pytest.mark.parametrize("scale", [1, 60])
+def test_log_probabilities_against_brute_force(scale):
+    rng = np.random.default_rng(5)
+    n = 3000
+    p = lm_scoring.Parameters.start(rng.permutation(np.linspace(1, 5, n)) / (3 * n))
+    p.own[:] = rng.normal(0, 0.5, p.own.shape)
+    p.u[:], p.v[:], p.c[:] = rng.normal(0, 0.5, p.u.shape), rng.normal(0, 2, p.v.shape), scale
+    w = np.concatenate([np.arange(n), rng.integers(0, n, 2000)])
+    ctx = rng.integers(0, 12, (lm_scoring.CONTEXT, len(w)))
+    lay, pred = p.layout, sum(p.c[k].astype(float) * p.r[ctx[k]] for k in range(lm_scoring.CONTEXT))
+
+    def softmax(x, q, b):
+        s = q.astype(float) @ x + b
+        return s - s.max() - np.log(np.exp(s - s.max()).sum())
+
+    want = []
+    for x, t in zip(pred, w):
+        g = lay.unit(t)
+        y = softmax(x, p.u, p.v)[g]
+        if t >= lay.single:
+            c = lay.of_class(t)
+            lo = lay.single + c * lay.size
+            y += softmax(x, p.q[lo : min(lo + lay.size, n)], p.b[lo : min(lo + lay.size, n)])[t - lo]
+            first = c // lay.per * lay.per
+            of = lay.n + 1 + np.arange(first, min(first + lay.per, lay.classes))
+            y += softmax(x, p.q[of], p.b[of])[c - first]
+        want.append(y)
+    assert lm_scoring.log_probabilities(p, w, ctx) == pytest.approx(np.array(want), rel=1e-4, abs=1e-3)
+
+
 def test_secrets_with_blanks_owned_words_and_any_length():
     def found(text):
         return [text[a:b] for a, b, *_ in secrets.secrets(text)]
