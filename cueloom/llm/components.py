@@ -113,6 +113,24 @@ def least_agreeing(threshold: float, errors: float = 4.0) -> int:
     return max(1, int(np.floor(MARKS * p - errors * np.sqrt(MARKS * p * (1 - p)))))
 
 
+def _repeated(batches):
+    """Of (band, id), sorted by band, the rows whose band others have too. The last row waits for the next batch."""
+    held, before = [np.empty(0, np.int64)] * 2, False
+    for x in batches:
+        if not x.num_rows:
+            continue
+        band, ids = (np.concatenate([h, x.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
+        same = band[1:] == band[:-1]
+        many = np.zeros(len(band), bool)
+        many[1:], many[0] = same, before
+        many[:-1] |= same
+        at = np.flatnonzero(many[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(band[at]), pa.array(ids[at])], ["band", "id"])
+        held, before = [band[-1:], ids[-1:]], bool(many[-1])
+    if before:
+        yield pa.RecordBatch.from_arrays([pa.array(h) for h in held], ["band", "id"])
+
+
 def bucket_components(rows: DataFrame, marked: DataFrame, threshold: float, prepare: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], tables: Tables) -> DataFrame:
     """(id, root) of the components of the graph whose edges are the pairs that share a band and that verify() keeps.
 
@@ -123,11 +141,10 @@ def bucket_components(rows: DataFrame, marked: DataFrame, threshold: float, prep
     only where they are still in different components. The components are those that all pairs would give.
     """
     enough = least_agreeing(threshold)
-    shared = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
-    rows = tables.write(rows.join(shared, "band"))
+    rows = tables.write(rows.select("band", "id").repartition("band").sortWithinPartitions("band").mapInArrow(_repeated, "band long, id long"))
     all_rows, rows = rows, tables.write(rows.join(marked.select("id", "m1", "m2").hint("merge"), "id"))
     tables.drop(all_rows)
-    del shared, all_rows
+    del all_rows
     tables.release()
     known = prepare(rows.select("id").distinct())
     least = rows.groupBy("band").agg(F.min("id").alias("least"))

@@ -73,14 +73,14 @@ def normal_lines(buf: np.ndarray, off: np.ndarray):
     inside = ~C.SEPARATOR[buf]
     keep = inside.copy()
     keep[1:] |= inside[:-1] & ~first[1:] & ~newline[1:]  # one blank after a word
-    # not at the end of a line: drop a blank whose next kept byte is in another line
-    line = np.cumsum(first) - 1
     at = np.flatnonzero(keep)
-    last = np.ones(len(at), bool)
-    last[:-1] = line[at[1:]] != line[at[:-1]]
-    at = at[~(last & ~inside[at])]
-    kept = np.where(inside[at], buf[at], 0).astype(np.uint8)
-    offsets = np.searchsorted(line[at], np.arange(len(start) + 1))
+    # not at the end of a line
+    offsets = np.append(np.searchsorted(at, start), len(at))
+    end = offsets[1:][offsets[1:] > offsets[:-1]] - 1
+    end = end[~inside[at[end]]]
+    at = np.delete(at, end)
+    offsets -= np.searchsorted(end, offsets)
+    kept = buf[at] * inside[at]
     row = np.searchsorted(off, start, "right") - 1
     # a text that ends in a newline has an empty last line, which doesn't matter here
     first_of = np.searchsorted(row, row)
@@ -105,10 +105,12 @@ def line_shingles(total: np.ndarray, offsets: np.ndarray):
     m = n - SHINGLE + 1
     if m <= 0:
         return one, short
-    at = np.flatnonzero(line[:m] == line[SHINGLE - 1 :])
-    h = C.mix((total[at + SHINGLE] - total[at]) * inv[at])
-    h, l = np.concatenate([h, one]), np.concatenate([line[at], short])
+    ok = line[:m] == line[SHINGLE - 1 :]
+    run = total[SHINGLE:] - total[:-SHINGLE]
+    run *= inv[:m]
+    h, l = C.mix(run[ok]), line[:m][ok]
     if len(short):
+        h, l = np.concatenate([h, one]), np.concatenate([l, short])
         order = np.argsort(l, kind="stable")
         h, l = h[order], l[order]
     return h, l

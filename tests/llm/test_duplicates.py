@@ -225,3 +225,24 @@ def test_components_against_union_find(spark, monkeypatch):
     edges = spark.createDataFrame(pairs, "a long, b long").repartition(4)
     got = {x["id"]: x["root"] for x in components.components(edges, common.Tables(spark, "test")).collect()}
     assert got == want
+
+
+# ---------------------------------------------------------------- kernels
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_rows_of_repeated_bands_however_batches_are_cut(size):
+    rng = np.random.default_rng(size)
+    band = np.sort(np.concatenate([rng.integers(-50, 50, 60), np.full(20, 7), [99]]))
+    ids = np.arange(len(band))
+    cut = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (band, ids)], ["band", "id"]) for i in range(0, len(band), size)]
+    got = [r for b in components._repeated([cut[0].slice(0, 0), *cut]) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert got == [(b, i) for b, i in zip(band, ids) if (band == b).sum() > 1]
+    assert list(components._repeated([])) == []
+
+
+def test_normal_lines_against_a_regular_expression():
+    rng = random.Random(6)
+    texts = ["", "\n", " \n a \n", "...!?", "tail \n", "\n lead", "é ß\nÜber"] + ["".join(rng.choice("aB \n.,é") for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    kept, offsets, row, number = line_dedup.normal_lines(*common.text_bytes(pa.array(texts)))
+    got = {(int(r), int(k)): kept[a:b].tobytes() for a, b, r, k in zip(offsets[:-1], offsets[1:], row, number)}
+    want = {(r, k): re.sub(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", b"\0", x.encode()).strip(b"\0") for r, t in enumerate(texts) for k, x in enumerate(t.split("\n"))}
+    assert {k: x for k, x in got.items() if x} == {k: x for k, x in want.items() if x}
