@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .order import numbered
+from .order import numbered, written
 
 _TOKEN = re.compile(r"\s*(?:([A-Za-z_][\w.]*|`[^`]+`)|(\d+)|([-+*:^().]))")
 Term = tuple[str, ...]
@@ -127,6 +127,12 @@ def quantile_groups(df: DataFrame, column: str, groups: int = 2, accuracy: int |
     return F.when(c.isNotNull(), out.otherwise(last) if out is not None else last)
 
 
+def _present(df: DataFrame, *names: str) -> None:
+    missing = [c for c in names if c not in df.columns]
+    if missing:
+        raise ValueError(f"no such columns: {', '.join(missing)}")
+
+
 def events_from_formula(
     df: DataFrame,
     formula: str,
@@ -145,9 +151,7 @@ def events_from_formula(
     """
     response, terms = parse(formula, df.columns, frequency)
     predictors = list(dict.fromkeys(p for t in terms for p in t))
-    missing = [c for c in [response, *predictors] if c not in df.columns]
-    if missing:
-        raise ValueError(f"no such columns: {', '.join(missing)}")
+    _present(df, response, *predictors)
     absent = [ignore_absent] if isinstance(ignore_absent, str) else list(ignore_absent or ())
     if "event_id" not in df.columns:
         df = numbered(df, order) if order else df.withColumn("event_id", F.lit(None).cast("long"))
@@ -168,3 +172,22 @@ def events_from_formula(
         cues = F.when(F.size(cues) > 0, cues).otherwise(F.raise_error(F.lit("all cues are absent")).cast("array<string>"))
     freq = F.col(frequency).cast("long") if frequency else F.lit(1).cast("long")
     return df.select(F.col("event_id").cast("long").alias("event_id"), cues.alias("cues"), F.array(F.col(response).cast("string")).alias("outcomes"), freq.alias("freq"), *keep)
+
+
+def tabled(df: DataFrame, formula: str, frequency: str | None = None, discretise: Callable[[DataFrame, str], Column] | None = quantile_groups, **more) -> tuple[DataFrame, str]:
+    """Each combination of the formula's columns once, and the name of the column that holds its frequency.
+
+    Numeric predictors are discretised first, by all rows. `event_id` is null. The rows are written.
+    """
+    response, terms = parse(formula, df.columns, frequency)
+    predictors = list(dict.fromkeys(p for t in terms for p in t))
+    _present(df, response, *predictors)
+    cut = {p: discretise(df, p) for p in predictors if discretise and isinstance(df.schema[p].dataType, T.NumericType)}
+    taken = {c.lower() for c in [response, *predictors]}
+    name = frequency or "freq"
+    while name.lower() in taken:
+        name = "_" + name
+    freq = F.col(frequency).cast("long") if frequency else F.lit(1).cast("long")
+    rows = df.select(response, *(cut[p].alias(p) if p in cut else F.col(p) for p in predictors), freq.alias(name))
+    few = rows.groupBy(response, *predictors).agg(F.sum(name).alias(name))
+    return written(few if "event_id" in taken else few.withColumn("event_id", F.lit(None).cast("long")), "tabled"), name

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import activate, stats
+from .counts import compact
 from .equilibrium import estimate_weights
 from .events import expand
-from .formula import events_from_formula, parse
+from .formula import events_from_formula, parse, tabled
 from .learn import Rates, learn_weights
 from .order import numbered, written
 
@@ -24,6 +25,7 @@ class Model:
     events: DataFrame
     weights: DataFrame
     options: dict
+    kinds: DataFrame | None = None  # each kind of event once, with its frequencies added up
 
     # ------------------------------------------------------------ prediction
     def coded(self, data: DataFrame | None = None) -> DataFrame:
@@ -40,11 +42,11 @@ class Model:
         """kind: "choice" (event_id, predicted), "acts" (event_id, outcome, activation), "probs" (event_id, outcome, p)."""
         if kind not in ("choice", "acts", "probs"):
             raise ValueError("kind: choice, acts or probs")
-        acts = activate.activations(self.coded(data), self.weights)
-        if kind == "acts":
-            return acts
-        p = activate.probabilities(acts)
-        return p if kind == "probs" else activate.predictions(p)
+        rows = activate.with_kinds(self.coded(data))
+        values = activate.kind_activations(rows, self.weights)
+        if kind != "acts":
+            values = activate.probabilities(values, activate.KIND)
+        return activate.spread(rows, activate.predictions(values, activate.KIND) if kind == "choice" else values)
 
     # ------------------------------------------------------------ statistics
     def observed(self) -> DataFrame:
@@ -54,20 +56,25 @@ class Model:
         return self.weights.count()
 
     def statistics(self) -> dict:
-        """Likelihoods, degrees of freedom, crosstable scores; concordance where there are two outcomes."""
-        p = written(self.predict("probs"), "probs")
-        seen = self.observed()
-        out = stats.likelihood(p, seen, parameters=self.parameters()).first().asDict()
+        """Likelihoods, degrees of freedom, crosstable scores; concordance where there are two outcomes.
+
+        All is computed by kinds of events, weighted by their frequencies: the events are read once at most.
+        """
+        key = activate.KIND
+        rows = activate.with_kinds(self.kinds if self.kinds is not None else written(compact(self.events), "compact"))
+        p = written(activate.probabilities(activate.kind_activations(rows, self.weights), key), "probs")
+        seen = written(rows.groupBy(key, F.element_at("outcomes", 1).alias("observed")).agg(F.sum("freq").alias("freq")), "seen")
+        out = stats.likelihood(p, seen, parameters=self.parameters(), key=key).first().asDict()
         n_data = seen.agg(F.sum("freq")).first()[0]
         names = sorted(r[0] for r in self.weights.select("outcome").distinct().collect())
         out["df_null"], out["df_model"] = stats.degrees_of_freedom(n_data, len(names), self.parameters())
-        chosen = activate.predictions(p)
-        table = stats.crosstable(seen.join(chosen, "event_id"))
+        chosen = activate.predictions(p, key)
+        table = written(stats.crosstable(seen.join(chosen, key)), "crosstable")
         out |= stats.table_scores(table).first().asDict()
         out["crosstable"], out["by_outcome"] = table, stats.class_scores(table)
         if len(names) == 2:
             first = chosen.agg(F.min("predicted")).first()[0]
-            scored = seen.join(p.where(F.col("outcome") == first), "event_id").select(F.col("p").alias("score"), (F.col("observed") == first).alias("positive"), "freq")
+            scored = seen.join(p.where(F.col("outcome") == first), key).select(F.col("p").alias("score"), (F.col("observed") == first).alias("positive"), "freq")
             out["c"] = stats.concordance(scored).first()["c"]
         return out
 
@@ -95,13 +102,19 @@ def fit(formula: str, data: DataFrame, frequency: str | None = None, method: str
     if "event_id" not in data.columns:
         data = numbered(data, list(order) or data.columns)
     events = events_from_formula(data, formula, frequency, **options)
+    kinds = written(compact(events), "compact")
     if method == "danks":
-        weights = estimate_weights(events)
+        weights = estimate_weights(kinds)
     elif method == "irw":
         weights = learn_weights(expand(events), rates)
     else:
         raise ValueError("method: danks or irw")
-    return Model(formula, frequency, data, events, written(weights, "weights"), options)
+    return Model(formula, frequency, data, events, written(weights, "weights"), options, kinds)
+
+
+def _for_table(options: dict) -> dict:
+    """Options of a fit of tabled() rows, which have the formula's columns only."""
+    return {k: v for k, v in options.items() if k != "keep"}
 
 
 def anova(*models: Model) -> list[dict]:
@@ -109,17 +122,20 @@ def anova(*models: Model) -> list[dict]:
     several: compared as they are given. They need the same response and the same data size."""
     if not models:
         raise ValueError("anova: a model or more")
-    if len(models) == 1:
+    one = len(models) == 1
+    if one:
         m = models[0]
         response, terms = parse(m.formula, m.data.columns, m.frequency)
-        models = tuple(fit(f"{response} ~ {' + '.join(':'.join(t) for t in terms[: k + 1])}", m.data, m.frequency, **m.options) for k in range(len(terms)))
+        data, frequency = tabled(m.data, m.formula, m.frequency, **m.options)
+        models = tuple(fit(f"{response} ~ {' + '.join(':'.join(t) for t in terms[: k + 1])}", data, frequency, **_for_table(m.options)) for k in range(len(terms)))
     responses = {parse(m.formula, m.data.columns, m.frequency)[0] for m in models}
     if len(responses) > 1:
         raise ValueError("anova: models of different responses")
     rows, sizes = [], set()
     for m in models:
         s = m.statistics()
-        sizes.add(m.events.count())
+        if not one:
+            sizes.add(m.events.count())
         rows.append({"model": m.formula, "df": s["df_model"], "deviance": s["deviance_model"], "df_null": s["df_null"], "deviance_null": s["deviance_null"]})
     if len(sizes) > 1:
         raise ValueError("anova: models of data of different sizes")
@@ -167,11 +183,16 @@ def variable_importance(formula: str, data: DataFrame, frequency: str | None = N
     """For each predictor: accuracy (and concordance) of a fit in which that predictor's values change places."""
     response, terms = parse(formula, data.columns, frequency)
     base = written(numbered(data.drop("event_id"), [c for c in data.columns if c != "event_id"]), "base")
-    full = fit(formula, base, frequency, **options).statistics()
+
+    def scores(rows: DataFrame) -> dict:
+        few, f = tabled(rows, formula, frequency, **options)
+        return fit(formula, few, f, **_for_table(options)).statistics()
+
+    full = scores(base)
     rows = [{"predictor": None, "accuracy": full["accuracy"], "c": full.get("c")}]
     for p in dict.fromkeys(x for t in terms for x in t):
         other = numbered(base.select(F.col("event_id").alias("_old"), F.col(p).alias("_p")), [F.xxhash64("_old", F.lit(seed)), F.col("_old")]).select("event_id", "_p")
         mixed = base.join(other, "event_id").withColumn(p, F.col("_p")).drop("_p")
-        s = fit(formula, mixed, frequency, **options).statistics()
+        s = scores(mixed)
         rows.append({"predictor": p, "accuracy": s["accuracy"], "c": s.get("c")})
     return rows

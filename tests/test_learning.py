@@ -158,3 +158,26 @@ def test_files(spark, tmp_path):
     (tmp_path / "d").write_text("a\t0\na\t1\n")
     with pytest.raises(ValueError, match="more than once"):
         files.dictionary(spark, str(tmp_path / "d"))
+
+
+def test_statistics_by_kinds_of_events(spark):
+    rng = np.random.default_rng(11)
+    rows = [(f"y{rng.integers(0, 3)}", f"a{rng.integers(0, 3)}", f"b{rng.integers(0, 2)}", float(rng.integers(0, 40))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "y string, a string, b string, x double")
+    m = model.fit("y ~ a + b", df)
+    assert m.kinds.count() <= 18 and m.kinds.agg(F.sum("freq")).first()[0] == 300
+    s, seen, p = m.statistics(), {r["event_id"]: r["observed"] for r in m.observed().collect()}, {}
+    for r in m.predict("probs").collect():
+        p.setdefault(r["event_id"], {})[r["outcome"]] = r["p"]
+    assert len(p) == 300
+    assert s["ll_model"] == pytest.approx(sum(np.log(p[i][o]) for i, o in seen.items()))
+    chosen = {r["event_id"]: r["predicted"] for r in m.predict().collect()}
+    assert s["accuracy"] == pytest.approx(sum(chosen[i] == o for i, o in seen.items()) / 300)
+    assert {(r["observed"], r["predicted"]): r["n"] for r in s["crosstable"].collect()} == {k: n for k in {(o, chosen[i]) for i, o in seen.items()} if (n := sum((o, chosen[i]) == k for i, o in seen.items()))}
+    few, freq = formula.tabled(df, "y ~ a + x", discretise=formula.quantile_groups)
+    assert few.count() < 60 and few.agg(F.sum(freq)).first()[0] == 300
+    whole, part = model.fit("y ~ a + x", df).statistics(), model.fit("y ~ a + x", few, freq).statistics()
+    assert part["deviance_model"] == pytest.approx(whole["deviance_model"]) and part["df_model"] == whole["df_model"]
+    rows = model.variable_importance("y ~ a + x", df)
+    assert rows[0]["accuracy"] == pytest.approx(whole["accuracy"]) and [r["predictor"] for r in rows] == [None, "a", "x"]
+    assert model.anova(model.fit("y ~ a + x", df))[1]["deviance"] == pytest.approx(whole["deviance_model"])
