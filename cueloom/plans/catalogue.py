@@ -278,7 +278,8 @@ ct AS (SELECT outcome AS observed, predicted, count(*) AS n FROM oc JOIN pred US
 
 
 def _pq(spark, d):
-    e = order_events(spark, d)
+    """Each kind of event once, with frequencies, and its counts: the tables are read once."""
+    e = written(counts.compact(order_events(spark, d)), "compact")
     cues, outs = counts.cooccurrence(e), counts.cue_outcome(e)
     return e, cues, outs
 
@@ -340,53 +341,58 @@ def equilibrium_residual(spark, d):
 
 # ---------------------------------------------------------------- scoring with a fixed weight table
 def fixed_weights(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Events, and outcomes' conditional probabilities as weights."""
+    """Kinds of events, and outcomes' conditional probabilities as weights."""
     e, cues, outs = _pq(spark, d)
-    return e, counts.outcome_probabilities(outs, counts.diagonal(cues)).withColumnRenamed("p", "weight")
+    return activate.with_kinds(e), counts.outcome_probabilities(outs, counts.diagonal(cues)).withColumnRenamed("p", "weight")
+
 
+KIND = activate.KIND
 
-def _probs(spark, d):
+
+def _kinds(spark, d) -> tuple[DataFrame, DataFrame]:
+    """What was observed of each kind of events, and the kind's probabilities."""
     e, w = fixed_weights(spark, d)
-    return e, activate.probabilities(activate.activations(e, w))
+    seen = e.groupBy(KIND, F.element_at("outcomes", 1).alias("observed")).agg(F.sum("freq").alias("freq"))
+    return seen, activate.probabilities(activate.kind_activations(e, w), KIND)
 
 
 def _pred(p: DataFrame) -> DataFrame:
-    return activate.predictions(p.withColumn("p", F.round("p", 9)))
+    return activate.predictions(p.withColumn("p", F.round("p", 9)), KIND)
 
 
-def _observed(e: DataFrame) -> DataFrame:
-    return e.select("event_id", F.element_at("outcomes", 1).alias("observed"), "freq")
+def _each(spark, d, values: DataFrame) -> DataFrame:
+    """What a table says of a kind, for each event."""
+    return activate.spread(activate.with_kinds(order_events(spark, d)), values)
 
 
 def _table(spark, d) -> DataFrame:
-    e, p = _probs(spark, d)
-    return stats.crosstable(_observed(e).join(_pred(p), "event_id"))
+    seen, p = _kinds(spark, d)
+    return stats.crosstable(seen.join(_pred(p), KIND))
 
 
 @query(f"WITH {PQ} SELECT event_id, outcome, round(activation, 6) AS activation FROM acts")
 def activations(spark, d):
-    return activate.activations(*fixed_weights(spark, d)).withColumn("activation", R("activation"))
+    return activate.activations(order_events(spark, d), fixed_weights(spark, d)[1]).withColumn("activation", R("activation"))
 
 
 @query(f"WITH {PQ}, k AS (SELECT min(event_id) AS event_id FROM oc GROUP BY c1, c2) SELECT event_id, outcome, round(activation, 6) AS activation FROM acts JOIN k USING (event_id)")
 def activations_unique(spark, d):
-    e, w = fixed_weights(spark, d)
-    return activate.unique_activations(activate.activations(e, w).withColumn("activation", R("activation")))
+    return activate.unique_activations(activate.activations(order_events(spark, d), fixed_weights(spark, d)[1]).withColumn("activation", R("activation")))
 
 
 @query(f"WITH {PQ} SELECT event_id, outcome, round(p, 6) AS p FROM probs")
 def acts_probs(spark, d):
-    return _probs(spark, d)[1].withColumn("p", R("p"))
+    return _each(spark, d, _kinds(spark, d)[1].withColumn("p", R("p")))
 
 
 @query(f"WITH {PQ} SELECT event_id, predicted FROM pred")
 def predictions(spark, d):
-    return _pred(_probs(spark, d)[1])
+    return _each(spark, d, _pred(_kinds(spark, d)[1]))
 
 
 @query(f"WITH {PQ} SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY round(p, 9) DESC, outcome) AS INTEGER) AS rank, outcome, round(p, 6) AS p FROM probs")
 def rank_probabilities(spark, d):
-    return activate.ranked(_probs(spark, d)[1].withColumn("p", F.round("p", 9))).withColumn("p", R("p"))
+    return _each(spark, d, activate.ranked(_kinds(spark, d)[1].withColumn("p", F.round("p", 9)), KIND).withColumn("p", R("p")))
 
 
 @query(f"""WITH {OC}, {LI} SELECT DISTINCT 'cue' AS kind, cue AS name FROM (SELECT unnest(cues) AS cue FROM li)
@@ -422,8 +428,8 @@ z AS (SELECT sum(n * ln(n / t)) AS z, max(t) AS n FROM (SELECT count(*) AS n, (S
 SELECT round(z, 4) AS ll_null, round(m, 4) AS ll_model, round(-2 * z, 4) AS deviance_null, round(-2 * m, 4) AS deviance_model, round(1 - m / z, 6) AS r2_likelihood,
 round((1 - exp(-2 * (m - z) / n)) / (1 - exp(2 * z / n)), 6) AS r2_nagelkerke, round(2 * 40 - 2 * m, 4) AS aic, round(40 * ln(n) - 2 * m, 4) AS bic FROM m, z""")
 def loglik_deviance_aic_bic(spark, d):
-    e, p = _probs(spark, d)
-    s = stats.likelihood(p, _observed(e), parameters=40)
+    seen, p = _kinds(spark, d)
+    s = stats.likelihood(p, seen, parameters=40, key=KIND)
     four = ("ll_null", "ll_model", "deviance_null", "deviance_model", "aic", "bic")
     return s.select(*(R(c, 4 if c in four else 6).alias(c) for c in s.columns))
 
@@ -433,8 +439,8 @@ g AS (SELECT p, sum(CASE WHEN y THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN y THEN
 b AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
 SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS c FROM b""")
 def concordance(spark, d):
-    e, p = _probs(spark, d)
-    one = p.where("outcome = '1-URGENT'").join(_observed(e), "event_id").select(F.round("p", 9).alias("score"), (F.col("observed") == "1-URGENT").alias("positive"), "freq")
+    seen, p = _kinds(spark, d)
+    one = p.where("outcome = '1-URGENT'").join(seen, KIND).select(F.round("p", 9).alias("score"), (F.col("observed") == "1-URGENT").alias("positive"), "freq")
     return stats.concordance(one).select(R("c").alias("c"))
 
 

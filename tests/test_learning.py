@@ -181,3 +181,11 @@ def test_statistics_by_kinds_of_events(spark):
     rows = model.variable_importance("y ~ a + x", df)
     assert rows[0]["accuracy"] == pytest.approx(whole["accuracy"]) and [r["predictor"] for r in rows] == [None, "a", "x"]
     assert model.anova(model.fit("y ~ a + x", df))[1]["deviance"] == pytest.approx(whole["deviance_model"])
+
+
+def test_activations_by_kinds_of_rows(spark):
+    rows = spark.createDataFrame([(0, ["a", "b"], ["x"], 1), (1, ["b", "a", "a"], ["y"], 2), (2, ["n"], ["x"], 1), (3, [], ["y"], 1)], SCHEMA)
+    w = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 0.25), ("b", "x", 2.0)], "cue string, outcome string, weight double")
+    want = {(i, o): v for i, vs in enumerate([(3.0, 0.25)] * 2 + [(0.0, 0.0)] * 2) for o, v in zip("xy", vs)}
+    assert {(r[0], r[1]): r[2] for r in activate.activations(rows, w).collect()} == want
+    assert activate.kind_activations(activate.with_kinds(rows), w).count() == 6
