@@ -189,3 +189,46 @@ def test_activations_by_kinds_of_rows(spark):
     want = {(i, o): v for i, vs in enumerate([(3.0, 0.25)] * 2 + [(0.0, 0.0)] * 2) for o, v in zip("xy", vs)}
     assert {(r[0], r[1]): r[2] for r in activate.activations(rows, w).collect()} == want
     assert activate.kind_activations(activate.with_kinds(rows), w).count() == 6
+
+
+def test_windows_of_rows(spark):
+    d = spark.createDataFrame([(1, "a bé c"), (2, "a b c𝄞 dd e"), (3, "a"), (4, ""), (5, "ab cd ef gh"), (6, None)], "doc_id int, text string")
+    words = events.words_of(d, breaks=False)
+    plans = []
+    for radius in (0, 1, 2):
+        rows = events.word_windows(words, radius, grams=(1, 2, 3))
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        want = events.windows(events.word_lists(words), radius)
+        assert sorted(map(tuple, rows.select("doc_id", "pos", "window").collect())) == sorted(map(tuple, want.collect()))
+        for n, smaller in ((1, False), (2, True), (3, True)):
+            assert sorted(map(tuple, events.letter_events(rows, n, smaller).collect())) == sorted(map(tuple, events.letter_events(want, n, smaller).collect()))
+    assert not any("collect_list" in p or "Python" in p for p in plans)  # no text as an array, none in Python
+
+
+def test_letter_events_of_empty_words(spark):
+    w = spark.createDataFrame([(1, 0, "a"), (1, 1, ""), (1, 2, "b"), (1, 3, "c")], "doc_id int, pos int, word string")
+    got = events.letter_events(events.word_windows(w, 1, grams=(3,)), 3).where("pos = 0").collect()[0]
+    assert got["cues"] == sorted(["#a#", "a##", "##b", "#b#"])
+
+
+@pytest.mark.parametrize("form", ["NFC", "NFKC", "NFD", "NFKD"])
+def test_normal_forms(spark, form):
+    import unicodedata
+
+    rows = ["été", "ﬁ Å", "plain", "", None, "한", "\U0001d15e"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string").select(text.normal_form(F.col("t"), form))
+    assert [r[0] for r in df.collect()] == [r if r is None else unicodedata.normalize(form, r) for r in rows]
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ngrams_of_any_length(spark):
+    rows = ["", "a", "ab", "é" * 3, "abcdefghij", "x" * 18, "0123456789" * 4, "a𝄞b𝄞c"]
+    got = spark.createDataFrame([(r,) for r in rows], "s string").select(coding.ngrams(F.col("s"), 3)).collect()
+    assert [r[0] for r in got] == [[r[i : i + 3] for i in range(len(r) - 2)] for r in rows]
+
+
+def test_context_counts_of_a_long_line(spark):
+    line = " ".join(f"w{i % 7}" for i in range(50))
+    got = {r["Outcomes"]: (r["Cues"], r["Frequency"]) for r in events.context_counts(spark.createDataFrame([(1, line + "\none\n\na b c")], "doc_id int, text string"), 3, 2).collect()}
+    assert len(got) == 8 and sum(f for _, f in got.values()) == 49
+    assert got["a_b_c"] == ("#a_a#_#b_b#_#c_c#", 1)
