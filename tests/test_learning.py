@@ -232,3 +232,41 @@ def test_context_counts_of_a_long_line(spark):
     got = {r["Outcomes"]: (r["Cues"], r["Frequency"]) for r in events.context_counts(spark.createDataFrame([(1, line + "\none\n\na b c")], "doc_id int, text string"), 3, 2).collect()}
     assert len(got) == 8 and sum(f for _, f in got.values()) == 49
     assert got["a_b_c"] == ("#a_a#_#b_b#_#c_c#", 1)
+
+
+def test_runs_of_events(spark):
+    rng = np.random.default_rng(8)
+    many = [f"o{k}" for k in range(20)]
+    rows = [(i * 1500, [f"c{k}" for k in rng.integers(0, 6, 3)], [many[k] for k in rng.integers(0, 3, 2)] + ([many[i % 20]] if i % 3 == 0 else []), 1) for i in range(80)]
+    e = spark.createDataFrame(rows, SCHEMA)
+    assert learn._packed(e.select("event_id", "cues", "outcomes")).count() == len({r[0] >> learn.SHIFT for r in rows})  # not a row for each event
+    for unique in (True, False):
+        want = brute(rows, unique=unique)
+        assert as_dict(learn.learn_weights(e, unique=unique)) == pytest.approx(want)  # numpy rows: 20 outcomes
+        few = e.withColumn("outcomes", F.filter("outcomes", lambda x: x.isin(many[:3])))
+        short = [(i, c, [o for o in os if o in many[:3]], f) for i, c, os, f in rows]
+        want = brute(short, unique=unique)
+        assert as_dict(learn.learn_weights(few, unique=unique)) == pytest.approx(want)
+        snap = {(r["event_count"], r["cue"], r["outcome"]): r["weight"] for r in learn.learned(few, unique=unique, snapshots=[31500, 31501]).collect()}
+        assert {k[0] for k in snap} == {31500, 31501, 79 * 1500 + 1}
+        for count, n in ((31500, 21), (31501, 22)):
+            part = brute(short[:n], unique=unique)
+            assert {k[1:]: v for k, v in snap.items() if k[0] == count} == pytest.approx({(c, o): part.get((c, o), 0.0) for c in {x for r in short[:n] for x in r[1]} for o in many[:3]})
+        at = tuple(r[0] + 1 for r in rows[::7])
+        got = {(r["event_count"], r["kind"], r["a"], r["b"]): r["value"] for r in learn.traced(few, [("c1", "o1"), ("c2", "o2"), ("none", "o2")], [("o0", "o1")], [("o0", "o1")], When(at=(0, *at)), unique=unique).collect()}
+        assert len(got) == 5 * (len(at) + 1)
+        for k, count in enumerate(at):
+            w = brute(short[: 7 * k + 1], unique=unique)
+            x, y = (np.array([w.get((f"c{c}", o), 0.0) for c in range(6)]) for o in ("o0", "o1"))
+            assert got[count, "link", "c2", "o2"] == pytest.approx(w.get(("c2", "o2"), 0.0)) and got[count, "link", "none", "o2"] == 0
+            assert got[count, "euclid", "o0", "o1"] == pytest.approx(np.linalg.norm(x - y))
+            if x.any() and y.any():
+                assert got[count, "cosine", "o0", "o1"] == pytest.approx(x @ y / np.linalg.norm(x) / np.linalg.norm(y))
+
+
+def test_initial_weights_and_alphas_of_cues_without_events(spark):
+    e = spark.createDataFrame([(0, ["a"], ["x"], 1), (1, ["a", "b"], ["y"], 1)], SCHEMA)
+    first = spark.createDataFrame([("q", "x", 0.5)], "cue string, outcome string, weight double")
+    a = spark.createDataFrame([("a", 0.5), ("b", 7.0), ("z", 0.2)], "cue string, value double")
+    got = as_dict(learn.learn_weights(e, Rates(alphas=a), initial=first))
+    assert got == pytest.approx({("q", "x"): 0.5, ("q", "y"): 0, ("a", "x"): 0.0475, ("b", "x"): -0.0005, ("a", "y"): 0.05, ("b", "y"): 0.01})
