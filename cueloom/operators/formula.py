@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Sequence
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .order import numbered, written
+from .stats import running
 
 _TOKEN = re.compile(r"\s*(?:([A-Za-z_][\w.]*|`[^`]+`)|(\d+)|([-+*:^().]))")
 Term = tuple[str, ...]
@@ -106,17 +108,47 @@ def parse(formula: str, columns: Sequence[str] = (), frequency: str | None = Non
     return response, sorted(terms, key=len)
 
 
+def _rounded(x: float, digits: int = 3) -> float:
+    """As SQL rounds: x times 1000, halves away from 0, over 1000. Python's round() goes by the number's exact value, which
+    may be just below a half that is written as one."""
+    y = x * 10**digits
+    if not math.isfinite(y):
+        return x
+    whole = math.trunc(y)
+    return (whole + math.copysign(1, y) if abs(y - whole) >= 0.5 else whole) / 10**digits
+
+
+def _quantiles(df: DataFrame, c: Column, at: Sequence[float]) -> list[float] | None:
+    """Exact quantiles: values are counted, and those of the ranks asked for found by running totals of the counts."""
+    counted = written(df.select(c.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n")), "values")
+    n, largest = counted.agg(F.sum("n"), F.max(F.abs("v"))).first()
+    if n is None:
+        return None
+    if not math.isfinite(largest):
+        return df.agg(F.percentile(c, list(at))).first()[0]
+    ranks = {q: (n - 1) * q for q in at}
+    wanted = sorted({f(r) for r in ranks.values() for f in (math.floor, math.ceil)})
+    end = F.col("before") + F.col("n")
+    hit = F.lit(False)
+    for r in wanted:
+        hit = hit | ((F.col("before") <= r) & (end > r))
+    rows = running(counted, "v", "n").where(hit).select("v", "before", end.alias("end")).collect()
+    value = {r: x["v"] for r in wanted for x in rows if x["before"] <= r < x["end"]}
+    low = {q: math.floor(r) for q, r in ranks.items()}
+    return [value[low[q]] + (value[math.ceil(r)] - value[low[q]]) * (r - low[q]) for q, r in ranks.items()]
+
+
 def quantile_groups(df: DataFrame, column: str, groups: int = 2, accuracy: int | None = None) -> Column:
     """The label of each value's quantile group, [low,high), the last one [low,high]; equal cuts are merged.
 
-    Cuts are exact; with `accuracy` they are approx_percentile's, which needs little memory for very many values.
+    Cuts are exact, those of SQL's quantile_cont; with `accuracy` they are approx_percentile's.
     """
     at = [i / groups for i in range(groups + 1)]
     c = F.col(column).cast("double")
-    cuts = df.agg(F.percentile_approx(c, at, accuracy) if accuracy else F.percentile(c, at)).first()[0]
+    cuts = df.agg(F.percentile_approx(c, at, accuracy)).first()[0] if accuracy else _quantiles(df, c, at)
     if cuts is None:
         return F.lit(None).cast("string")
-    cuts = sorted({round(x, 3) for x in cuts})
+    cuts = sorted({_rounded(x) for x in cuts})
     cuts = cuts if len(cuts) > 1 else cuts * 2
     label = lambda i, end: f"[{cuts[i]:.3f},{cuts[i + 1]:.3f}{end}"
     out = None

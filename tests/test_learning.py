@@ -270,3 +270,18 @@ def test_initial_weights_and_alphas_of_cues_without_events(spark):
     a = spark.createDataFrame([("a", 0.5), ("b", 7.0), ("z", 0.2)], "cue string, value double")
     got = as_dict(learn.learn_weights(e, Rates(alphas=a), initial=first))
     assert got == pytest.approx({("q", "x"): 0.5, ("q", "y"): 0, ("a", "x"): 0.0475, ("b", "x"): -0.0005, ("a", "y"): 0.05, ("b", "y"): 0.01})
+
+
+@pytest.mark.parametrize("values", [[0.0, 372195.1125, 400000.0, 500000.0, 600000.0], None])
+def test_quantile_cuts_are_those_of_sql(spark, values):
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(2)
+    for size in (1,) if values else (1, 2, 7, 150, 400):
+        x = values or [float(v) for v in np.round(rng.uniform(1000, 5e5, size), 2)] * 3
+        df = spark.createDataFrame([(v,) for v in x], "x double")
+        cuts = duckdb.connect().execute("SELECT list_transform(quantile_cont(v, [0.0, 0.25, 0.5, 0.75, 1.0]), lambda x: round(x, 3)) FROM (SELECT unnest(?) AS v)", [x]).fetchall()[0][0]
+        assert formula._quantiles(df, F.col("x"), [0.0, 0.25, 0.5, 0.75, 1.0]) == duckdb.connect().execute("SELECT quantile_cont(v, [0.0, 0.25, 0.5, 0.75, 1.0]) FROM (SELECT unnest(?) AS v)", [x]).fetchall()[0][0]
+        low = {r[0].strip("[)]").split(",")[0] for r in df.select(formula.quantile_groups(df, "x", 4)).collect()}
+        assert low <= {f"{v:.3f}" for v in cuts}
+    assert formula._rounded(372195.1125) == 372195.113 != round(372195.1125, 3)
+    assert [formula._rounded(v) for v in (-372195.1125, 0.25, -0.0004, float("inf"))] == [-372195.113, 0.25, 0.0, float("inf")]
