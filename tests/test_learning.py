@@ -205,6 +205,14 @@ def test_windows_of_rows(spark):
     assert not any("collect_list" in p or "Python" in p for p in plans)  # no text as an array, none in Python
 
 
+def test_windows_of_known_words_sort_once(spark):
+    words = events.words_of(spark.createDataFrame([(1, "a q b c q d"), (2, "q a b q c")], "doc_id int, text string"), breaks=False)
+    names = spark.createDataFrame([(x,) for x in "abcd"], "name string")
+    got = events.word_windows(events.known_words(words, names, renumber=False), 1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, events.windows(events.word_lists(events.known_words(words, names)), 1).collect())) == [(1, 0, ["a", "b", "c"]), (1, 1, ["b", "c", "d"])]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
 def test_letter_events_of_empty_words(spark):
     w = spark.createDataFrame([(1, 0, "a"), (1, 1, ""), (1, 2, "b"), (1, 3, "c")], "doc_id int, pos int, word string")
     got = events.letter_events(events.word_windows(w, 1, grams=(3,)), 3).where("pos = 0").collect()[0]
